@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trendspark.functions.text import blank, bound, words
 from trendspark.functions.wordlists import stopwords
 from trendspark.operators.dedup import last_by_id
-from trendspark.session import materialize, top_per_group, with_position
+from trendspark.session import materialize, spread, top_per_group, with_position
 
 TOPIC = ["category", "topic"]
 NOISE = -1
@@ -128,7 +128,7 @@ def term_counts(
     stop: Sequence[str] | None = None,
 ) -> DataFrame:
     stop = stopwords() if stop is None else stop
-    listed = posts.select(
+    listed = spread(posts).select(
         *TOPIC, F.explode(terms(blank(F.col(text)), ngrams, stop)).alias("term")
     )
     return listed.groupBy(*TOPIC, "term").agg(F.count(F.lit(1)).alias("n"))
