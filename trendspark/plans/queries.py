@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,9 @@ from trendspark.operators import (
     dashboard,
     dedup,
     embedding,
+    knn,
     language,
+    search,
     summary,
     topics,
     translation,
@@ -22,7 +25,7 @@ from trendspark.operators import (
     validation,
 )
 from trendspark.plans.tables import document_posts, table, threads, vectors
-from trendspark.session import materialize
+from trendspark.session import materialize, shared_folder
 from trendspark.sources import landing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -534,3 +537,39 @@ def embed_text(spark, folder):
     vector = embedding.hashed_vector(F.col("text"), idf, 64)
     listed = documents.select("doc_id", F.posexplode(vector).alias("dim", "value"))
     return listed.filter(F.abs("value") > 1e-12).select("doc_id", "dim", rounded("value").alias("value"))
+
+
+# ---- nearest neighbours
+
+
+def query_vectors(spark, folder):
+    """Vectors of one label as queries."""
+    return vectors(spark, folder).filter(F.col("topic") == 0).withColumnRenamed("id", "query_id")
+
+
+@query
+def vector_search(spark, folder):
+    hits = search.vector_search(query_vectors(spark, folder), vectors(spark, folder), 5, metadata=["topic"])
+    return hits.select("query_id", "id", "rank", "topic", rounded("distance").alias("distance"))
+
+
+@query
+def search_vector_table(spark, folder):
+    """Search in a table written for it, pruned by cell."""
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    search.build_vector_table(vectors(spark, folder), path, cell_rows=64)
+    hits = search.search_table(spark, path, query_vectors(spark, folder), 5, "all")
+    return hits.select("query_id", "id", "rank", rounded("distance").alias("distance"))
+
+
+@query
+def knn_graph(spark, folder):
+    graph = knn.knn_graph(vectors(spark, folder), 5)
+    return graph.select("src", "dst", "rank", rounded("d2").alias("d2"))
+
+
+@query
+def knn_graph_cells(spark, folder):
+    """The same graph by the way a large table takes."""
+    graph = knn.knn_graph(vectors(spark, folder), 5, broadcast_bytes=0, cell_rows=128, block_rows=128)
+    return graph.select("src", "dst", "rank", rounded("d2").alias("d2"))
