@@ -189,7 +189,35 @@ GRAPH = with_(PAIRS.format(where="WHERE q.vec_id <> b.vec_id"), RANKED,
 SEARCH = with_(PAIRS.format(where="WHERE q.label = 0"), RANKED, select="""SELECT src AS query_id, dst AS id, rank,{topic}
     round(d2, 6) AS distance FROM ranked WHERE rank <= 5""")
 
+REGIONS = """parts AS (
+  SELECT label, vec_id, unnest(range(1, 65)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
+means AS (SELECT label, i, avg(x) AS m, count(*) AS size FROM parts GROUP BY ALL),
+radii AS (SELECT label, max(d2) AS radius2 FROM (
+  SELECT label, vec_id, sum((x - m) * (x - m)) AS d2 FROM parts JOIN means USING (label, i) GROUP BY ALL) GROUP BY label)"""
+PLACED = """placed AS (
+  SELECT id, CASE WHEN round(d2, 9) <= round(radius2, 9) THEN label ELSE -1 END AS topic, d2 FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d2, 9), label) AS r FROM (
+      SELECT p.vec_id AS id, m.label, sum((x - m) * (x - m)) AS d2
+      FROM parts p JOIN means m ON p.i = m.i GROUP BY ALL)) JOIN radii USING (label) WHERE r = 1)"""
+REACH = f"""WITH RECURSIVE {PAIRS.format(where="WHERE q.vec_id <> b.vec_id")},
+  cores AS (SELECT src, max(d2) AS core FROM (SELECT src, d2, row_number() OVER (PARTITION BY src ORDER BY d2) AS r
+    FROM pairs) WHERE r <= 5 GROUP BY src),
+  edges AS (SELECT p.src, p.dst, round(greatest(sqrt(p.d2), sqrt(a.core), sqrt(b.core)), 9) AS w
+    FROM pairs p JOIN cores a ON a.src = p.src JOIN cores b ON b.src = p.dst)"""
+
 ORACLE: dict[str, str] = {
+    "density_components": f"""{REACH},
+      near AS (SELECT src, dst FROM edges WHERE w <= sqrt(1.35)),
+      walk AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings
+        UNION SELECT node, dst FROM walk JOIN near ON near.src = walk.seen)
+      SELECT node, min(seen) AS component FROM walk GROUP BY node""",
+    "topic_regions": with_(REGIONS, select="""SELECT label AS topic, size, round(m, 6) + 0.0::DOUBLE AS first,
+      round(radius2, 6) AS radius2 FROM means JOIN radii USING (label) WHERE i = 1"""),
+    "assign_topics": with_(REGIONS, PLACED, select="SELECT id, topic, round(d2, 6) AS d2 FROM placed"),
+    "members": with_(REGIONS, PLACED, select="SELECT id FROM placed WHERE topic = 3"),
+    "topic_bars": with_(POSTS, term_counts(), WEIGHTS, select="""SELECT category, topic, rank, term, round(weight, 9) AS weight
+      FROM (SELECT *, row_number() OVER (PARTITION BY category, topic ORDER BY round(weight, 9) DESC, term) AS rank
+        FROM weights) WHERE rank <= 5 AND topic <> -1"""),
     "vector_search": SEARCH.format(topic=" topic,"),
     "search_vector_table": SEARCH.format(topic=""),
     "knn_graph": GRAPH,

@@ -8,22 +8,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendspark.config import Settings
 from trendspark.functions import text as tx
 from trendspark.functions.dates import event_time, parse_published, utc_date
 from trendspark.functions.wordlists import stopwords
 from trendspark.operators import (
+    clustering,
     dashboard,
     dedup,
+    density,
     embedding,
     knn,
     language,
+    reduce,
     search,
+    spanning,
     summary,
     topics,
     translation,
     trends,
     validation,
 )
+from trendspark.plans import trend_run
 from trendspark.plans.tables import document_posts, table, threads, vectors
 from trendspark.session import materialize, shared_folder
 from trendspark.sources import landing
@@ -573,3 +579,79 @@ def knn_graph_cells(spark, folder):
     """The same graph by the way a large table takes."""
     graph = knn.knn_graph(vectors(spark, folder), 5, broadcast_bytes=0, cell_rows=128, block_rows=128)
     return graph.select("src", "dst", "rank", rounded("d2").alias("d2"))
+
+
+# ---- clustering
+
+
+@query
+def spanning_tree(spark, folder):
+    tree = spanning.spanning_tree(vectors(spark, folder), 5)
+    return tree.select("a", "b", rounded("w").alias("w"))
+
+
+@query
+def density_components(spark, folder):
+    """Points linked at squared mutual reachability up to 1.35."""
+    points = vectors(spark, folder)
+    tree = materialize(spanning.spanning_tree(points, 5))
+    return spanning.density_components(tree, points, 1.35**0.5).select("node", "component")
+
+
+@query
+def density_cluster(spark, folder):
+    return density.density_cluster(vectors(spark, folder), 5, 5).select("id", "topic")
+
+
+@query
+def reduce_dims(spark, folder):
+    flat = reduce.reduce_dims(vectors(spark, folder), ["all"], 5)
+    return flat.select("id", F.posexplode("vector").alias("axis", "value"))
+
+
+@query
+def cluster_topics(spark, folder):
+    found = clustering.cluster_topics(vectors(spark, folder), "topic", ["all"], 5, 5, 5)
+    return found.select("id", "topic")
+
+
+@query
+def topic_regions(spark, folder):
+    regions = clustering.topic_regions(vectors(spark, folder))
+    first = F.get("centroid", F.lit(0))
+    return regions.select("topic", "size", rounded(first).alias("first"), rounded("radius2").alias("radius2"))
+
+
+@query
+def assign_topics(spark, folder):
+    points = vectors(spark, folder)
+    placed = clustering.assign_topics(points, clustering.topic_regions(points))
+    return placed.select("id", "topic", rounded("d2").alias("d2"))
+
+
+@query
+def members(spark, folder):
+    points = vectors(spark, folder)
+    placed = clustering.assign_topics(points, clustering.topic_regions(points))
+    return topics.members(placed, 3).select("id")
+
+
+@query
+def topic_map(spark, folder):
+    return reduce.topic_map(vectors(spark, folder), ["all"]).select("topic", "size", "x", "y")
+
+
+@query
+def topic_bars(spark, folder):
+    bars = reduce.topic_bars(weights(spark, folder), 5)
+    return bars.select("category", "topic", "rank", "term", rounded("weight", 9).alias("weight"))
+
+
+@query
+def find_trends(spark, folder):
+    """Documents through embedding, topic clustering and summaries."""
+    posts = document_posts(spark, folder).drop("topic")
+    composed = materialize(posts.withColumn("text_for_embedding", tx.compose_text()))
+    settings = Settings(categories=("en", "fr", "de", "es"))
+    found = trend_run.find_trends(trend_run.embed_posts(composed, settings=settings), settings=settings)
+    return readable(found.trends)
