@@ -19,6 +19,7 @@ from trendspark.operators.search import build_vector_table
 from trendspark.operators.summary import summarize, summarize_with_model
 from trendspark.operators.translation import ModelLoader, normalize_language
 from trendspark.operators.trends import order_trends, summary_input, top_posts, top_titles, trend_rows
+from trendspark.schemas import COMBINED
 from trendspark.session import materialize
 from trendspark.sources import sinks
 
@@ -52,7 +53,9 @@ def prepare_posts(
 
     Filter and deduplication depend on the id alone and run before the costly steps.
     """
-    kept = combined.filter(F.col("category").isin(list(settings.categories)))
+    absent = {f.name: F.lit(None).cast(f.dataType) for f in COMBINED.fields if f.name not in combined.columns}
+    whole = combined.withColumns(absent) if absent else combined
+    kept = whole.filter(F.col("category").isin(list(settings.categories)))
     unique = dedup_first(valid_ids(kept))
     english = normalize_language(
         unique, profile, lexicon, models.translate, chars=settings.language_chars, parity=settings.parity

@@ -1,34 +1,44 @@
 """Explicit schemas of every table; JSON and XML are never inferred."""
 
-from pyspark.sql.types import StructType
-
-RAW_POST = StructType.fromDDL(
-    "id string, subreddit string, author struct<name:string>, title string, selftext string, "
-    "score bigint, num_comments bigint, url string, created_utc double, stickied boolean"
-)
-RAW_ITEM = StructType.fromDDL(
-    "guid string, title string, description string, link string, pubDate string"
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DataType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
 )
-POST = StructType.fromDDL(
-    "id string, source string, subreddit string, author string, title string, selftext string, "
-    "text string, score bigint, num_comments bigint, url string, created_utc double, category string"
+
+TEXT, COUNT, REAL, FLAG = StringType(), LongType(), DoubleType(), BooleanType()
+
+
+def schema(**fields: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in fields.items()])
+
+
+RAW_POST = schema(
+    id=TEXT, subreddit=TEXT, author=schema(name=TEXT), title=TEXT, selftext=TEXT, score=COUNT,
+    num_comments=COUNT, url=TEXT, created_utc=REAL, stickied=FLAG,
 )
-ARTICLE = StructType.fromDDL(
-    "id string, source string, category string, title string, summary string, text string, "
-    "link string, published string"
+RAW_ITEM = schema(guid=TEXT, title=TEXT, description=TEXT, link=TEXT, pubDate=TEXT)
+POST = schema(
+    id=TEXT, source=TEXT, subreddit=TEXT, author=TEXT, title=TEXT, selftext=TEXT, text=TEXT,
+    score=COUNT, num_comments=COUNT, url=TEXT, created_utc=REAL, category=TEXT,
 )
-COMBINED = StructType.fromDDL(
-    "id string, source string, subreddit string, author string, title string, selftext string, "
-    "text string, score bigint, num_comments bigint, url string, created_utc double, category string, "
-    "summary string, link string, published string"
+ARTICLE = schema(
+    id=TEXT, source=TEXT, category=TEXT, title=TEXT, summary=TEXT, text=TEXT, link=TEXT, published=TEXT
 )
+COMBINED = StructType([*POST.fields, *(f for f in ARTICLE.fields if f.name not in POST.names)])
 NORMALIZED = StructType(
-    COMBINED.fields
-    + StructType.fromDDL(
-        "detected_language string, title_en string, selftext_en string, summary_en string, text_en string"
-    ).fields
+    [
+        *COMBINED.fields,
+        *schema(detected_language=TEXT, title_en=TEXT, selftext_en=TEXT, summary_en=TEXT, text_en=TEXT).fields,
+    ]
 )
-TREND = StructType.fromDDL(
-    "cluster_id int, total_posts bigint, category string, keywords array<string>, summary string, "
-    "top_titles array<string>, start_date string, end_date string"
+TREND = schema(
+    cluster_id=IntegerType(), total_posts=COUNT, category=TEXT, keywords=ArrayType(TEXT), summary=TEXT,
+    top_titles=ArrayType(TEXT), start_date=TEXT, end_date=TEXT,
 )
