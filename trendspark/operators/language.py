@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 from trendspark.functions.text import blank, bound, clean_text, supported_language
 from trendspark.functions.wordlists import SUPPORTED_LANGUAGES
+from trendspark.session import materialize
 
 # A profile has at most languages x BUCKETS rows, whatever the training text.
 BUCKETS = 65_536
@@ -19,17 +20,18 @@ MAX_LANGUAGES = 256
 SLICE_ROWS = 256
 
 
-def trigram_buckets(text: Column, chars: int = 200) -> Column:
-    """Hash buckets of the trigrams in the first ``chars`` characters of a cleaned text."""
+def trigrams(text: Column, chars: int = 200) -> Column:
+    """Trigrams of the first ``chars`` characters of a cleaned text."""
 
-    def buckets(head: Column) -> Column:
+    def cut(head: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(head) - 2, F.lit(1)))
-        return F.transform(
-            starts,
-            lambda i: F.conv(F.substring(F.md5(head.substr(i, F.lit(3))), 1, 4), 16, 10).cast("int"),
-        )
+        return F.transform(starts, lambda i: head.substr(i, F.lit(3)))
 
-    return bound(F.lower(F.substring(text, 1, chars)), buckets)
+    return bound(F.lower(F.substring(text, 1, chars)), cut)
+
+
+def trigram_bucket(gram: Column) -> Column:
+    return F.conv(F.substring(F.md5(gram), 1, 4), 16, 10).cast("int")
 
 
 def train_language_profile(
@@ -41,11 +43,15 @@ def train_language_profile(
     """
     cleaned = labelled.select(F.col(lang).alias("lang"), clean_text(F.col(text)).alias("text"))
     usable = cleaned.filter((F.col("text") != "") & F.col("lang").isNotNull())
-    counts = (
-        usable.select("lang", F.explode(trigram_buckets(F.col("text"), chars)).alias("bucket"))
-        .groupBy("lang", "bucket")
+    # Counted before they are hashed: there are few distinct trigrams.
+    grams = (
+        usable.select("lang", F.explode(trigrams(F.col("text"), chars)).alias("gram"))
+        .groupBy("lang", "gram")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    counts = grams.groupBy("lang", trigram_bucket(F.col("gram")).alias("bucket")).agg(
+        F.sum("n").alias("n")
+    )
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     denominator = F.col("total") + BUCKETS
     return counts.join(totals, "lang").select(
@@ -77,7 +83,7 @@ def language_scorer(profile: DataFrame, text: Column, chars: int = 200) -> Colum
     The profile is at most ``languages x 65,536`` numbers, so it is broadcast and the
     scoring pass needs no shuffle of the texts.
     """
-    langs, matrix = _profile_matrix(profile)
+    langs, matrix = _profile_matrix(materialize(profile))
     shared = profile.sparkSession.sparkContext.broadcast((langs, matrix))
 
     @F.pandas_udf(StringType())
