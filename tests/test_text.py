@@ -88,6 +88,16 @@ def test_event_time(spark):
     assert one(spark, utc_date(F.col("c")), schema, (1722816000.5, ""), (-1.0, "")) == ["2024-08-05", "1969-12-31"]
 
 
+def test_dates_without_zone_are_utc_in_any_session(spark):
+    given = [(None, "2024-08-05"), (None, "Mon, 5 Aug 2024 00:00:00"), (None, "2024-08-05T00:00:00Z"), (None, "Aug 5, 2024")]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found = one(spark, event_time(F.col("c"), F.col("p")), "c double, p string", *given)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert found == [1722816000.0] * 4
+
+
 def test_stopword_lists():
     assert len(set(BASE_STOPWORDS)) == 131
     assert len(set(stopwords(parity=True))) == 249

@@ -180,13 +180,13 @@ TRANSLATED = """SELECT doc_id, CASE WHEN lang = 'en' THEN {clean} ELSE array_to_
 CHUNKED = "flatten(list_transform(range(0, greatest(0, len(toks) - 51) + 1, 410), lambda s: toks[s + 1:s + 460]))"
 
 PAIRS = """pairs AS (
-  SELECT q.vec_id AS src, b.vec_id AS dst, b.label AS topic, q.label AS asked, list_sum(list_transform(
+  SELECT q.vec_id AS src, b.vec_id AS dst, b.label AS topic, list_sum(list_transform(
     list_zip(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2
   FROM embeddings q, embeddings b {where})"""
 RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d2, 9), dst) AS rank FROM pairs)"""
 GRAPH = with_(PAIRS.format(where="WHERE q.vec_id <> b.vec_id"), RANKED,
     select="SELECT src, dst, rank, round(d2, 6) AS d2 FROM ranked WHERE rank <= 5")
-SEARCH = with_(PAIRS.format(where="WHERE q.label = 0"), RANKED, select="""SELECT src AS query_id, dst AS id, rank,{topic}
+SEARCH = with_(PAIRS.format(where=""), RANKED, select="""SELECT src AS query_id, dst AS id, rank,{topic}
     round(d2, 6) AS distance FROM ranked WHERE rank <= 5""")
 
 REGIONS = """parts AS (

@@ -360,7 +360,7 @@ def event_dates(spark, folder):
     """First and last day of each user's events."""
     return (
         table(spark, folder, "events")
-        .withColumn("ts", F.col("ts").cast("timestamp"))
+        .withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
         .groupBy("user_id")
         .agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
         .select(
@@ -549,8 +549,7 @@ def embed_text(spark, folder):
 
 
 def query_vectors(spark, folder):
-    """Vectors of one label as queries."""
-    return vectors(spark, folder).filter(F.col("topic") == 0).withColumnRenamed("id", "query_id")
+    return vectors(spark, folder).withColumnRenamed("id", "query_id")
 
 
 @query

@@ -28,7 +28,9 @@ def document_posts(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", "quality", F.lit(True).alias("labelled"))
     seconds = (F.lit(1704067200) + F.col("doc_id") * 3600).cast("double")
     article = F.col("labelled").isNull()
-    feed_date = F.date_format(F.timestamp_seconds(seconds), "'Mon, 'd MMM yyyy HH:mm:ss' GMT'")
+    # Rendered in UTC whatever the session time zone.
+    utc = F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone())
+    feed_date = F.date_format(utc, "'Mon, 'd MMM yyyy HH:mm:ss' GMT'")
     title = F.regexp_extract("text", r"^[^.\n]*", 0)
     return documents.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("ingest_seq"),
