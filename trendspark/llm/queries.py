@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import table
+from trendspark.llm.common import remainder, table
 
 #: The rules of the url query.
 URL_RULES = [
@@ -38,6 +38,37 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trendspark.llm.quality_classifier import classify
+
+    scored = classify(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1
+    )
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trendspark.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from trendspark.llm.bpe import round_trip
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trendspark.llm.quality_rules import BASE, judge
+
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *BASE, "base_failed", "kept")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trendspark.llm.url_filter import filter_urls
 
@@ -48,5 +79,9 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op7_quality_rules": op7_quality_rules,
     "op9_url_filters": op9_url_filters,
 }
