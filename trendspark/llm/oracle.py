@@ -32,4 +32,33 @@ m AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
 """
 
-ORACLE = {"op2_warc": WARC, "op9_url_filters": URL_FILTERS}
+#: Windows of ten words by list slices; hit places by expanding every match.
+DECONTAMINATION = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w
+  FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, len(x) AS n, array_to_string(x, ' ') AS x FROM (
+    SELECT item, unnest([w[i:i + 9] FOR i IN range(1, greatest(1, len(w) - 9) + 1)]) AS x FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS x FROM (
+    SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT r, dw.n, i, item FROM dw JOIN bw ON dw.x = bw.x AND dw.n = bw.n),
+h AS (
+  SELECT r, count(*) AS n_hit FROM (
+    SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r),
+t AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+""".replace("{UPPER}", UPPER).replace("{LOWER}", LOWER)
+
+ORACLE = {"op1_decontamination": DECONTAMINATION, "op2_warc": WARC, "op9_url_filters": URL_FILTERS}
