@@ -61,4 +61,21 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """.replace("{UPPER}", UPPER).replace("{LOWER}", LOWER)
 
-ORACLE = {"op1_decontamination": DECONTAMINATION, "op2_warc": WARC, "op9_url_filters": URL_FILTERS}
+SUBSTRING_DEDUP = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+x AS (
+  SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+many AS (SELECT h FROM x GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM x SEMI JOIN many USING (h)) GROUP BY r),
+word AS (SELECT r, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+lost AS (SELECT DISTINCT r, unnest(ps) AS p FROM gone),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(t, ' ' ORDER BY p) AS k FROM word ANTI JOIN lost USING (r, p) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+ORACLE = {"op6_substring_dedup": SUBSTRING_DEDUP, "op1_decontamination": DECONTAMINATION, "op2_warc": WARC, "op9_url_filters": URL_FILTERS}
