@@ -1,15 +1,17 @@
 """Language-model scores: context-tree weighting over bytes, beside a smoothed word unigram.
 
 Every byte is eight binary decisions; a decision's context is the bits before it in the byte and the
-last bytes before that. At each depth from 0 to 3 bytes of context a Krichevsky-Trofimov estimate
+last bytes before that. At each depth from 0 to 5 bytes of context a Krichevsky-Trofimov estimate
 counts what followed in training texts, and context-tree weighting mixes the depths by how well each
 would have coded them. Modelled are a text's lower-cased words joined by one space, closed by a line
 feed, which no word holds.
 
 Documents are dealt into chunks of bounded size. A chunk sends its distinct words and its distinct
-sequences of four bytes, with training counts, to buckets; a bucket adds up all chunks' counts and
-answers each chunk in the order it asked, so no key is hot and no model travels whole. Counts of the
-two outer depths, at most 256 x 255, go through the driver.
+sequences of six bytes, with training counts, to buckets; a bucket adds up all chunks' counts and
+answers each chunk in the order it asked, so no key is hot and no model travels whole. Sequences meet
+by their last two bytes of context and half of the third: there depths 3 to 5 are weighted. Depth 2 is
+summed between buckets and sent back to them; depths 1 and 0, at most 256 x 255 nodes, pass through
+the driver.
 
 Defined results: null and empty texts are one end token; without training texts every byte has
 probability 1/256; repeated rows count as often as they occur; a null id belongs to the text "".
@@ -31,9 +33,10 @@ from trendspark.llm.common import as_bytes, parts_for, total_bytes
 from trendspark.session import materialize
 
 CHUNK_BYTES = 1 << 24
-END = 10
-#: Bytes looked up at once.
-STRIDE = 1 << 20
+DEPTH = 5
+END = b"\n"
+#: Bytes handled at once within a chunk.
+STRIDE = 1 << 22
 
 
 def pack(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
@@ -53,83 +56,92 @@ def unpack(blob: bytes, *kinds: type) -> tuple:
 
 
 class Chunk:
-    """Words and four-byte sequences of a chunk's texts, in the order in which buckets list them."""
+    """Words and byte sequences of a chunk's texts, in the order in which buckets list them.
+
+    A sequence has the last byte lowest and the bytes of its context, in reading order, above it.
+    """
 
     def __init__(self, texts: list[bytes], learn: list[bool], buckets: int) -> None:
         self.words = [data.lower().split() for data in texts]
-        self.streams = [b" ".join(w) + b"\n" for w in self.words]
+        self.streams = [b" ".join(w) + END for w in self.words]
         self.buckets = buckets
-        counted: Counter[bytes] = Counter()
+        self.word_counts: Counter[bytes] = Counter()
         for words, used in zip(self.words, learn, strict=True):
             if used:
-                counted.update(words)
-        known = counted.copy()
+                self.word_counts.update(words)
+        known = set(self.word_counts)
         for words, used in zip(self.words, learn, strict=True):
             if not used:
-                known.update(dict.fromkeys(words, 0))
+                known.update(words)
         self.by_bucket: dict[int, list[bytes]] = {}
         for word in sorted(known):
             self.by_bucket.setdefault(zlib.crc32(word) % buckets, []).append(word)
-        self.word_counts = counted
-        self._sequences(learn)
-
-    def _sequences(self, learn: list[bool]) -> None:
-        """Distinct contexts of three bytes, and counts by context and next byte."""
-        seen = np.zeros(256, bool)
-        for stream in self.streams:
-            seen[np.frombuffer(stream, np.uint8)] = True
-        seen[END] = True
-        self.letters = np.flatnonzero(seen)
-        size = len(self.letters)
-        self.code = np.zeros(256, np.int64)
-        self.code[self.letters] = np.arange(size)
-        met = np.zeros(size**3, bool)
-        for context, _, _ in self.pieces():
-            met[context] = True
-        self.contexts = np.flatnonzero(met)
-        self.row = np.zeros(size**3, np.int32)
-        self.row[self.contexts] = np.arange(len(self.contexts))
-        cells = len(self.contexts) * size
-        counts, present = np.zeros(cells, np.int64), np.zeros(cells, bool)
-        used = np.array(learn, bool)
-        for context, following, doc in self.pieces():
-            cell = self.row[context].astype(np.int64) * size + following
-            present[cell] = True
-            counts += np.bincount(cell[used[doc]], minlength=cells)
-        self.cells = np.flatnonzero(present)
-        self.cell_counts = counts[self.cells]
-        context, following = self.contexts[self.cells // size], self.letters[self.cells % size]
-        third, second, first = context // size**2, context // size % size, context % size
-        letters = self.letters
-        self.sequence = (
-            letters[second] << 24 | letters[first] << 16 | letters[third] << 8 | following
-        ).astype(np.int64)
+        used, values, counts = np.array(learn, bool), [], []
+        for data, at, doc in self.pieces():
+            found = self.sequences_at(data, at)
+            learned = used[doc]
+            for part, weight in ((found[learned], 1), (found[~learned], 0)):
+                value, count = np.unique(part, return_counts=True)
+                values.append(value)
+                counts.append(count * weight)
+        self.sequence, inverse = np.unique(np.concatenate(values), return_inverse=True)
+        self.counts = np.bincount(inverse, np.concatenate(counts), len(self.sequence)).astype(np.int64)
 
     def pieces(self):
-        """Context, next byte and document of every byte, some texts at a time."""
-        size = len(self.letters)
+        """Bytes of some texts, the places to score in them, and the text of each place."""
         first = 0
         while first < len(self.streams):
             last, total = first, 0
             while last < len(self.streams) and (last == first or total < STRIDE):
-                total += len(self.streams[last]) + 3
+                total += len(self.streams[last]) + DEPTH
                 last += 1
-            data = b"".join(b"\n\n\n" + s for s in self.streams[first:last])
+            data = np.frombuffer(b"".join(END * DEPTH + s for s in self.streams[first:last]), np.uint8)
             lengths = np.array([len(s) for s in self.streams[first:last]])
-            code = self.code[np.frombuffer(data, np.uint8)]
-            begin = np.cumsum(lengths + 3) - lengths
-            doc = np.repeat(np.arange(last - first), lengths)
-            at = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + begin[doc]
-            yield (code[at - 3] * size + code[at - 2]) * size + code[at - 1], code[at], doc + first
+            ends = np.cumsum(lengths + DEPTH)
+            scored = np.ones(len(data), bool)
+            for k in range(DEPTH):
+                scored[ends - lengths - DEPTH + k] = False
+            yield data, np.flatnonzero(scored), np.repeat(np.arange(first, last), lengths)
             first = last
 
+    @staticmethod
+    def sequences_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        wide = data.astype(np.int64)
+        total = wide[DEPTH:].copy()
+        for k in range(1, DEPTH + 1):
+            total |= wide[DEPTH - k:-k] << (8 * k)
+        return total[at - DEPTH]
+
+    def finder(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """Index in ``sequence`` of the sequences at places of a piece, by a table for each byte read."""
+        letters = np.unique(self.sequence[:, None] >> np.arange(0, 8 * DEPTH + 8, 8) & 255)
+        size = len(letters)
+        code = np.zeros(256, np.int32)
+        code[letters] = np.arange(size)
+        tables, row = [], np.zeros(len(self.sequence), np.int64)
+        for k in range(DEPTH, -1, -1):
+            cell = row * size + code[self.sequence >> (8 * k) & 255]
+            met, row = np.unique(cell, return_inverse=True)
+            table = np.zeros(size * (1 if not tables else int(tables[-1].max()) + 1), np.int32)
+            table[met] = np.arange(len(met))
+            tables.append(table)
+
+        def find(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+            own = code[data]
+            row = np.zeros(len(at), np.int32)
+            for k, table in zip(range(DEPTH, -1, -1), tables, strict=True):
+                row = table[row * np.int64(size) + own[at - k]]
+            return row
+
+        return find
+
     def requests(self):
         """Blobs by kind and bucket: sorted words or sequences, with training counts."""
         for bucket, words in self.by_bucket.items():
             counts = np.array([self.word_counts[w] for w in words], np.int64)
             yield "word", bucket, pack(counts, tail=b"\n".join(words))
         for bucket, rows in self.sequence_rows():
-            yield "bytes", bucket, pack(self.sequence[rows], self.cell_counts[rows])
+            yield "bytes", bucket, pack(self.sequence[rows], self.counts[rows].astype(np.int32))
 
     def sequence_rows(self):
         bucket = sequence_bucket(self.sequence, self.buckets)
@@ -140,9 +152,17 @@ class Chunk:
                 yield int(bucket[rows[0]]), rows
 
 
+def bucket_of(nearest: np.ndarray, half: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of two bytes of context and the upper half of the third."""
+    return ((nearest * SPLITS + half) * 2654435761 >> 13) % buckets
+
+
+#: Buckets that share two bytes of context, one for each upper half of the third byte.
+SPLITS = 16
+
+
 def sequence_bucket(sequence: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket by the last two bytes of context: all that share them meet."""
-    return (((sequence >> 16) * 40503) & 0xFFFF) % buckets
+    return bucket_of(sequence >> 8 & 0xFFFF, sequence >> 28 & 15, buckets)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -178,6 +198,10 @@ class Level:
             self.log_weighted = np.logaddexp(own, children) - np.log(2)
             self.weight = 1 / (1 + np.exp(np.clip(children - own, -700, 700)))
 
+    def above(self, depth: int) -> tuple[np.ndarray, ...]:
+        """Key at a smaller depth, counts, and what the nodes give to it."""
+        return shorter(self.key, depth), self.zeros, self.ones, self.log_weighted
+
     def look_up(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probability of a one, and weight; even for unseen nodes."""
         if not len(self.key):
@@ -188,63 +212,70 @@ class Level:
         return np.where(met, one, 0.5), np.where(met, self.weight[at], 0.5)
 
 
+def shorter(key: np.ndarray, depth: int) -> np.ndarray:
+    """A node's key with the nearest ``depth`` bytes of context only."""
+    return key & ((1 << (8 * depth + 8)) - 1)
+
+
 def bits(sequence: np.ndarray):
-    """For each of a byte's eight decisions: the node and the bit."""
-    following = sequence & 255
+    """For each of a byte's eight decisions: the node's key, and the bit."""
+    following, context = sequence & 255, sequence >> 8 << 8
     for k in range(8):
-        yield (1 << k) | (following >> (8 - k)), (following >> (7 - k)) & 1
+        yield context | (1 << k) | (following >> (8 - k)), (following >> (7 - k)) & 1
 
 
-def inner_levels(sequence: np.ndarray, counts: np.ndarray) -> tuple[Level, Level]:
-    """Levels of depth three and two."""
+def inner_levels(sequence: np.ndarray, counts: np.ndarray) -> list[Level]:
+    """Levels of depth five, four and three."""
     used = counts > 0
     sequence, counts = sequence[used], counts[used]
-    parts = [((sequence >> 8 << 8) | node, counts * (1 - bit), counts * bit) for node, bit in bits(sequence)]
-    key, zeros, ones = (np.concatenate(c) for c in zip(*parts, strict=True))
-    deep = Level(key, zeros, ones, None)
-    above = (deep.key >> 16 << 8) | (deep.key & 255)
-    return deep, Level(above, deep.zeros, deep.ones, deep.log_weighted)
+    parts = [(key, counts * (1 - bit), counts * bit) for key, bit in bits(sequence)]
+    levels = [Level(*(np.concatenate(c) for c in zip(*parts, strict=True)), None)]
+    for depth in range(DEPTH - 1, 2, -1):
+        levels.append(Level(*levels[-1].above(depth)))
+    return levels
 
 
 def merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """All sequences with their counts, and each blob's sequences."""
     asked, counts = [], []
     for blob in blobs:
-        sequence, count, _ = unpack(blob, np.int64, np.int64)
+        sequence, count, _ = unpack(blob, np.int64, np.int32)
         asked.append(sequence)
         counts.append(count)
     every, inverse = np.unique(np.concatenate(asked), return_inverse=True)
     return every, np.bincount(inverse, np.concatenate(counts), len(every)).astype(np.int64), asked
 
 
-def outer_summary(table: pa.Table) -> pa.Table:
-    """A bucket's nodes of depth two, summed by their last byte of context."""
+NODES = "key bigint, zeros double, ones double, below double"
+NAMES = ("key", "zeros", "ones", "below")
+
+
+def second_depth(table: pa.Table) -> pa.Table:
+    """What a bucket's nodes of depth three give to depth two."""
     every, counts, _ = merged(table.column("blob").to_pylist())
-    level = inner_levels(every, counts)[1]
-    key, inverse = np.unique((level.key >> 8 & 255) << 8 | level.key & 255, return_inverse=True)
-    columns = [np.bincount(inverse, c, len(key)) for c in (level.zeros, level.ones, level.log_weighted)]
-    return pa.table({"key": key, "zeros": columns[0], "ones": columns[1], "below": columns[2]})
+    key, *columns = inner_levels(every, counts)[-1].above(2)
+    key, inverse = np.unique(key, return_inverse=True)
+    return pa.table([key, *(np.bincount(inverse, c, len(key)) for c in columns)], names=NAMES)
+
+
+def first_depth(batches):
+    """What whole nodes of depth two give to depth one."""
+    for batch in batches:
+        level = Level(*(batch.column(c).to_numpy() for c in NAMES))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in level.above(1)], names=NAMES)
 
 
-def outer_levels(rows) -> tuple[Level, Level]:
-    """Levels of depth one and zero from the summed rows of all buckets."""
-    one = Level(*(rows[c].to_numpy() for c in ("key", "zeros", "ones", "below")))
-    return one, Level(one.key & 255, one.zeros, one.ones, one.log_weighted)
+def summed(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("key").agg(*(F.sum(c).alias(c) for c in NAMES[1:]))
 
 
-def log10_probability(sequence: np.ndarray, levels: tuple[Level, Level, Level, Level]) -> np.ndarray:
-    """Of the last byte of each sequence after the others; ``levels`` from depth three to zero."""
+def log10_probability(sequence: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """Of the last byte of each sequence after the others; ``levels`` from the deepest to depth zero."""
     total = np.zeros(len(sequence))
-    for node, bit in bits(sequence):
-        keys = (
-            (sequence >> 8 << 8) | node,
-            (sequence >> 16 << 8) | node,
-            (sequence >> 16 & 255) << 8 | node,
-            node,
-        )
+    for key, bit in bits(sequence):
         mixed = None
-        for level, key in zip(levels, keys, strict=True):
-            one, weight = level.look_up(key)
+        for depth, level in zip(range(DEPTH, -1, -1), levels, strict=True):
+            one, weight = level.look_up(shorter(key, depth))
             mixed = one if mixed is None else weight * one + (1 - weight) * mixed
         total += np.log10(np.where(bit == 1, mixed, 1 - mixed))
     return total
@@ -312,46 +343,48 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     train_tokens = int(sum(s[0] for s in sums)) + n_docs
     distinct = int(sum(s[1] for s in sums)) + (n_docs > 0)
     bytes_asked = asked.filter("kind = 'bytes'")
-    outer = outer_levels(
-        bytes_asked.groupBy("bucket")
-        .applyInArrow(outer_summary, "key bigint, zeros double, ones double, below double")
-        .groupBy("key")
-        .agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below")))
-        .orderBy("key")
-        .toPandas()
-    )
-
-    def answer(table: pa.Table) -> pa.Table:
+    second = materialize(summed(bytes_asked.groupBy("bucket").applyInArrow(second_depth, NODES)))
+    rows = summed(second.mapInArrow(first_depth, NODES)).orderBy("key").toPandas()
+    first = Level(*(rows[c].to_numpy() for c in NAMES))
+    outer = [first, Level(*first.above(0))]
+
+    def deal(batches):
+        for batch in batches:
+            for half in range(SPLITS):
+                bucket = bucket_of(batch.column("key").to_numpy() >> 8, np.int64(half), chunks)
+                yield batch.append_column("bucket", pa.array(bucket))
+
+    dealt = second.mapInArrow(deal, f"{NODES}, bucket bigint").distinct()
+
+    def answer(table: pa.Table, nodes: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return table.select(["kind", "chunk", "bucket", "blob"])
         every, counts, wanted = merged(table.column("blob").to_pylist())
-        found = log10_probability(every, (*inner_levels(every, counts), *outer))
+        two = Level(*(nodes.column(c).to_numpy() for c in NAMES))
+        found = log10_probability(every, [*inner_levels(every, counts), two, *outer]).astype(np.float32)
         blobs = [pack(found[np.searchsorted(every, own)]) for own in wanted]
-        return pa.table(
-            {
-                "kind": table.column("kind"), "chunk": table.column("chunk"), "bucket": table.column("bucket"),
-                "blob": pa.array(blobs, pa.binary()),
-            }
-        )
+        return table.set_column(table.schema.get_field_index("blob"), "blob", pa.array(blobs, pa.binary()))
 
     answers = words.filter("chunk >= 0").unionByName(
-        bytes_asked.groupBy("bucket").applyInArrow(answer, ANSWER)
+        bytes_asked.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(answer, ANSWER)
     )
     base = _base(train_tokens, distinct)
 
     def finish(table: pa.Table, answered: pa.Table) -> pa.Table:
         chunk = chunk_of(table)
         counts: dict[bytes, int] = {}
-        found = np.zeros(len(chunk.contexts) * len(chunk.letters))
+        found = np.zeros(len(chunk.sequence), np.float32)
         rows = dict(chunk.sequence_rows())
         for what, bucket, blob in zip(*(answered.column(c).to_pylist() for c in ("kind", "bucket", "blob")), strict=True):
             if what == "word":
                 values = unpack(blob, np.int64)[0]
                 counts.update(zip(chunk.by_bucket[bucket], values.tolist(), strict=True))
             else:
-                found[chunk.cells[rows[bucket]]] = unpack(blob, np.float64)[0]
+                found[rows[bucket]] = unpack(blob, np.float32)[0]
         total = np.zeros(len(chunk.streams))
-        for context, following, doc in chunk.pieces():
-            value = found[chunk.row[context].astype(np.int64) * len(chunk.letters) + following]
-            total += np.bincount(doc, value, len(total))
+        find = chunk.finder()
+        for data, at, doc in chunk.pieces():
+            total += np.bincount(doc, found[find(data, at)], len(total))
         number = {word: i for i, word in enumerate(counts)}
         count = np.fromiter(counts.values(), np.float64, len(counts))
         cost = base(count)
