@@ -22,12 +22,12 @@ from itertools import chain, count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendspark.llm.common import as_bytes, batches_by_size, parts_for, total_bytes
+from trendspark.llm.hashing import Hashes, mix, run_hashes, slices, text_hash, word_codes
 from trendspark.session import materialize
 
 SIZE, MER = 35, 8
@@ -37,40 +37,6 @@ SLICE_BYTES, BUCKET_BYTES = 1 << 24, 1 << 24
 EXPANSION = 3.5
 #: A run is frequent if it has this share of all runs: 125,000 runs at most.
 FREQUENT = 8e-6
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-class Hashes(dict):
-    """64-bit hash of a word; starts anew when large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _A
-    return x ^ (x >> np.uint64(29))
-
-
-def run_hashes(codes: np.ndarray, length: int) -> np.ndarray:
-    """Hash of every run of ``length`` codes, built from runs of powers of two."""
-    done, total, power = 0, None, codes
-    width = 1
-    n = len(codes) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    while width <= length:
-        if length & width:
-            part = power[done:done + n]
-            total = part if total is None else _mix(total * _B + part)
-            done += width
-        if width * 2 <= length:
-            power = _mix(power[:-width] * _A + power[width:])
-        width *= 2
-    return total
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -91,25 +57,6 @@ def minimisers(codes: np.ndarray, frequent: np.ndarray, size: int, mer: int) ->
     return sliding_least(runs, size - mer + 1)
 
 
-def word_codes(words: list[bytes], hashes: Hashes) -> np.ndarray:
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-
-
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[dict[bytes, int]]:
-    """Distinct texts with their counts, about ``limit`` bytes at once."""
-    waiting: dict[bytes, int] = {}
-    size = 0
-    for batch in batches_by_size(batches, column, 1 << 22):
-        for data in as_bytes(batch.column(column)):
-            size += 0 if data in waiting else len(data)
-            waiting[data] = waiting.get(data, 0) + 1
-        if size >= limit:
-            yield waiting
-            waiting, size = {}, 0
-    if waiting:
-        yield waiting
-
-
 def frequent_runs(docs: DataFrame, text: str, size: int, mer: int) -> np.ndarray:
     """Hashes of the frequent runs, sorted. A task leaves out runs that are rare among its own."""
 
@@ -176,11 +123,11 @@ def packages(docs: DataFrame, frequent: np.ndarray, buckets: int, text: str, siz
                 least = minimisers(word_codes(words, hashes), frequent, size, mer)
                 begins = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
                 ends = np.append(begins[1:], len(least)) + (size - 1)
-                bucket = (_mix(least[begins]) % np.uint64(buckets)).tolist()
+                bucket = (mix(least[begins]) % np.uint64(buckets)).tolist()
                 plain = b" ".join(words)
                 lengths = np.fromiter(map(len, words), np.int64, n) + 1
                 place = np.concatenate([[0], np.cumsum(lengths)])
-                key = (xxhash.xxh64_intdigest(data, 42) ^ 1 << 63) - (1 << 63)  # as Spark has it
+                key = text_hash(data)
                 cuts = zip(bucket, begins.tolist(), place[begins].tolist(), (place[ends] - 1).tolist(), strict=True)
                 for b, start, low, high in cuts:
                     own[b].add(plain[low:high], key, n, start, times)
@@ -205,7 +152,7 @@ def repeated_windows(strings: list[bytes], times: np.ndarray, size: int) -> tupl
     of = np.repeat(np.arange(len(strings)), lengths)
     offset = np.arange(len(codes)) - first[of]
     starts = np.flatnonzero(offset <= lengths[of] - size)
-    hashed = run_hashes(_mix(codes.astype(np.uint64) + np.uint64(1)), size)[starts]
+    hashed = run_hashes(mix(codes.astype(np.uint64) + np.uint64(1)), size)[starts]
     order = np.argsort(hashed, kind="stable")
     starts, hashed = starts[order], hashed[order]
     new = np.concatenate([[True], hashed[1:] != hashed[:-1]]) if len(hashed) else np.zeros(0, bool)
