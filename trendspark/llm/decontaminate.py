@@ -298,3 +298,15 @@ def with_digest(found: DataFrame) -> DataFrame:
             "contaminated": F.col("n_hit") > 0,
         }
     )
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", size: int = WINDOW
+) -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs, as they are."""
+    # Rows are known by their content: whatever ids they have, equal texts meet the same fate.
+    hashed = docs.withColumn("_text", F.xxhash64(text)).withColumn("_length", F.octet_length(text))
+    hashed = hashed.withColumn("_key", F.concat_ws("-", "_text", "_length"))
+    found = decontaminate(hashed.select("_key", text), benchmark, "_key", text, item, size)
+    hit = found.filter("n_hit > 0").select("_key").distinct()
+    return hashed.join(hit, "_key", "left_anti").select(*docs.columns)

@@ -394,20 +394,42 @@ def link_edges(docs: DataFrame, listed: DataFrame, buckets: int, text: str, size
     return forest.select(F.lit(0).alias("category"), F.col("set").alias("a"), F.col("root").alias("b")).distinct()
 
 
-def components(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT
-) -> DataFrame:
-    """``key, n_shingles, component_id`` of every document; two link from ``percent`` of their union on."""
+def _with_component(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """``key, set, n, component`` of every document; no component without shingles. Stored."""
     buckets = parts_for(docs.sparkSession, total_bytes(docs, text), BUCKET_BYTES)
     listed = materialize(list_entries(docs, buckets, key, text, size, percent))
     forest = link_edges(docs, listed, buckets, text, size, percent)
     component = connected_components(materialize(forest)).select(F.col("node").alias("set"), "component")
-    rows = materialize(
-        listed.filter("kind = 0").select(key, "set", "n").join(component, "set", "left")
-        .withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "set")))
-        .drop("set")
+    return materialize(
+        listed.filter("kind = 0").select(key, "set", "n").join(component, "set", "left").withColumn(
+            "component", F.when(F.col("n") > 0, F.coalesce("component", "set"))
+        )
     )
+
+
+def components(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """``key, n_shingles, component_id`` of every document; two link from ``percent`` of their union on."""
+    rows = _with_component(docs, key, text, size, percent).drop("set")
     least = rows.filter("component is not null").groupBy("component").agg(F.min(key).alias("least"))
     return rows.join(least, "component", "left").select(
         key, F.col("n").alias("n_shingles"), F.coalesce("least", key).alias("component_id")
     )
+
+
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """One row of each component, that with the smallest key; rows without shingles all stay."""
+    rows = _with_component(docs, key, text, size, percent)
+    order = F.struct(F.col(key).isNull().alias("_last"), F.col(key).alias("_key"), "set")
+    first = rows.filter("n > 0").groupBy("component").agg(F.min(order).alias("_first"))
+    first = first.select(F.col("_first._key").alias("_first_key"), F.col("_first.set").alias("_first_set"))
+    hashed = docs.withColumn("_set", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    has_words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    chosen = hashed.filter(has_words).join(
+        first, (F.col("_set") == F.col("_first_set")) & F.col(key).eqNullSafe(F.col("_first_key"))
+    )
+    single = chosen.dropDuplicates(["_set", key]).select(*docs.columns)
+    return single.unionByName(docs.filter(~has_words))

@@ -249,3 +249,25 @@ def classify(
 
     kind = docs.schema[key].dataType.simpleString()
     return vectors.mapInArrow(run, f"`{key}` {kind}, score double, predicted int")
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality",
+    least: float = 0.5,
+) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, as they are.
+
+    Rows are scored where they lie, so repeated and null keys do no harm and no text is shuffled.
+    """
+    words = word_vectors(docs, text)
+    network = train(materialize(document_vectors(docs, words, key, text)), labels, learn, key, label)
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Buckets()
+        for batch in batches_by_size(batches, text, 1 << 23):
+            pooled = [pool(data, sent.value, buckets) for data in as_bytes(batch.column(text))]
+            kept = network.probability(np.stack(pooled).astype(np.float64)) >= least
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

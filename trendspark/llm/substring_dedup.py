@@ -272,6 +272,7 @@ def removal_digest(
 
 def remove_repeats(docs: DataFrame, text: str = "text", size: int = SIZE, mer: int = MER) -> DataFrame:
     """``docs`` with the kept words, joined by one space, as text; a text that loses nothing stays as it is."""
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_size(batches, text, 1 << 23):
@@ -284,6 +285,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", size: int = SIZE, mer: i
                 texts.append(value)
             at = batch.schema.get_field_index(text)
             changed = batch.set_column(at, text, pa.array(texts, pa.string()))
-            yield changed.select(docs.columns)
+            yield changed.select(columns)
 
     return _with_ranges(docs, text, size, mer).mapInArrow(run, docs.schema)
