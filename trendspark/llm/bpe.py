@@ -193,7 +193,8 @@ def _shipped(df: DataFrame, path: str, pattern: str):
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the token ids of ``text`` as an array."""
+    """Adds the token ids of ``text`` as an array; a column of that name is replaced."""
+    df = df.drop(ids)
     get = _shipped(df, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +210,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 def decode(
     df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded"
 ) -> DataFrame:
-    """Adds the bytes of an array of ids; a null array has no bytes."""
+    """Adds the bytes of an array of ids; a null array has no bytes. A column of that name is replaced."""
+    df = df.drop(decoded)
     get = _shipped(df, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

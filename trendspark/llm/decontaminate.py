@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import EMPTY_SHA256, as_bytes, batches_by_size, total_bytes
+from trendspark.llm.common import EMPTY_SHA256, as_bytes, batches_by_size, free, total_bytes
 from trendspark.session import materialize
 
 WINDOW = 10
@@ -178,7 +178,7 @@ def proximity_starts(lists: dict[bytes, np.ndarray], window: tuple[bytes, ...],
     begins = np.zeros(len(starts), bool)
     holds = np.ones(len(starts), bool)
     for term in terms:
-        places = lists[term]
+        places = lists[term].astype(np.int64)
         at = np.searchsorted(places, starts)
         nearest = np.where(at < len(places), places[np.minimum(at, len(places) - 1)], np.iinfo(np.int64).max)
         holds &= nearest < starts + span
@@ -305,8 +305,8 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs, as they are."""
     # Rows are known by their content: whatever ids they have, equal texts meet the same fate.
-    hashed = docs.withColumn("_text", F.xxhash64(text)).withColumn("_length", F.octet_length(text))
-    hashed = hashed.withColumn("_key", F.concat_ws("-", "_text", "_length"))
-    found = decontaminate(hashed.select("_key", text), benchmark, "_key", text, item, size)
-    hit = found.filter("n_hit > 0").select("_key").distinct()
-    return hashed.join(hit, "_key", "left_anti").select(*docs.columns)
+    (key,) = free(docs, "_key")
+    hashed = docs.withColumn(key, F.concat_ws("-", F.xxhash64(text), F.octet_length(text)))
+    found = decontaminate(hashed.select(key, text), benchmark, key, text, item, size)
+    hit = found.filter("n_hit > 0").select(key).distinct()
+    return hashed.join(hit, key, "left_anti").select(*docs.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import as_bytes, batches_by_size, parts_for, total_bytes
+from trendspark.llm.common import as_bytes, batches_by_size, free, parts_for, total_bytes
 from trendspark.llm.hashing import Hashes, mix, run_hashes, text_hash, word_codes
 from trendspark.llm.lm_score import pack, unpack
 from trendspark.operators.components import connected_components
@@ -423,13 +423,14 @@ def keep_one(
 ) -> DataFrame:
     """One row of each component, that with the smallest key; rows without shingles all stay."""
     rows = _with_component(docs, key, text, size, percent)
-    order = F.struct(F.col(key).isNull().alias("_last"), F.col(key).alias("_key"), "set")
-    first = rows.filter("n > 0").groupBy("component").agg(F.min(order).alias("_first"))
-    first = first.select(F.col("_first._key").alias("_first_key"), F.col("_first.set").alias("_first_set"))
-    hashed = docs.withColumn("_set", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    order = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), "set")
+    own, first_key, first_set = free(docs, "_set", "_first_key", "_first_set")
+    first = rows.filter("n > 0").groupBy("component").agg(F.min(order).alias("first"))
+    first = first.select(F.col("first.key").alias(first_key), F.col("first.set").alias(first_set))
+    hashed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     has_words = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     chosen = hashed.filter(has_words).join(
-        first, (F.col("_set") == F.col("_first_set")) & F.col(key).eqNullSafe(F.col("_first_key"))
+        first, (F.col(own) == F.col(first_set)) & F.col(key).eqNullSafe(F.col(first_key))
     )
-    single = chosen.dropDuplicates(["_set", key]).select(*docs.columns)
+    single = chosen.dropDuplicates([own, key]).select(*docs.columns)
     return single.unionByName(docs.filter(~has_words))

@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from trendspark.llm.common import as_bytes, parts_for, total_bytes
 from trendspark.session import materialize
 
-CHUNK_BYTES = 1 << 24
+CHUNK_BYTES = 1 << 23
 DEPTH = 5
 END = b"\n"
 #: Bytes handled at once within a chunk.
-STRIDE = 1 << 22
+STRIDE = 1 << 20
 
 
 def pack(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
@@ -62,17 +62,17 @@ class Chunk:
     """
 
     def __init__(self, texts: list[bytes], learn: list[bool], buckets: int) -> None:
-        self.words = [data.lower().split() for data in texts]
-        self.streams = [b" ".join(w) + END for w in self.words]
-        self.buckets = buckets
+        self.buckets, self.streams = buckets, []
         self.word_counts: Counter[bytes] = Counter()
-        for words, used in zip(self.words, learn, strict=True):
+        known: set[bytes] = set()
+        for data, used in zip(texts, learn, strict=True):
+            words = data.lower().split()
+            self.streams.append(b" ".join(words) + END)
             if used:
                 self.word_counts.update(words)
-        known = set(self.word_counts)
-        for words, used in zip(self.words, learn, strict=True):
-            if not used:
+            else:
                 known.update(words)
+        known.update(self.word_counts)
         self.by_bucket: dict[int, list[bytes]] = {}
         for word in sorted(known):
             self.by_bucket.setdefault(zlib.crc32(word) % buckets, []).append(word)
@@ -172,7 +172,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
         shift += np.log(x + k)
     z = x + 8
     series = (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi)
-    return series + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - shift
+    return series + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) - shift
 
 
 def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -181,6 +181,10 @@ def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - np.log(np.pi) - log_gamma(zeros + ones + 1)
 
 
+def summed_by(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(index, values, n).astype(np.float64)
+
+
 class Level:
     """Nodes of one depth, sorted: key ``context << 8 | bits before``, counts, log of the weighted
     probability, and the weight of the node's own estimate against its children's."""
@@ -188,13 +192,12 @@ class Level:
     def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> None:
         self.key, inverse = np.unique(key, return_inverse=True)
         n = len(self.key)
-        self.zeros = np.bincount(inverse, zeros, n)
-        self.ones = np.bincount(inverse, ones, n)
+        self.zeros, self.ones = summed_by(inverse, zeros, n), summed_by(inverse, ones, n)
         own = log_estimate(self.zeros, self.ones)
         if below is None:
             self.log_weighted, self.weight = own, np.ones(n)
         else:
-            children = np.bincount(inverse, below, n)
+            children = summed_by(inverse, below, n)
             self.log_weighted = np.logaddexp(own, children) - np.log(2)
             self.weight = 1 / (1 + np.exp(np.clip(children - own, -700, 700)))
 
@@ -255,7 +258,7 @@ def second_depth(table: pa.Table) -> pa.Table:
     every, counts, _ = merged(table.column("blob").to_pylist())
     key, *columns = inner_levels(every, counts)[-1].above(2)
     key, inverse = np.unique(key, return_inverse=True)
-    return pa.table([key, *(np.bincount(inverse, c, len(key)) for c in columns)], names=NAMES)
+    return pa.table([key, *(summed_by(inverse, c, len(key)) for c in columns)], names=NAMES)
 
 
 def first_depth(batches):
@@ -388,9 +391,11 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         number = {word: i for i, word in enumerate(counts)}
         count = np.fromiter(counts.values(), np.float64, len(counts))
         cost = base(count)
-        end_cost, n_known, base_score = float(base(np.array([n_docs]))[0]), [], []
-        for own in chunk.words:
+        end_cost, n_tokens, n_known, base_score = float(base(np.array([n_docs]))[0]), [], [], []
+        for stream in chunk.streams:
+            own = stream.split()
             at = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
+            n_tokens.append(len(own) + 1)
             n_known.append(int((count[at] > 0).sum()) + (n_docs > 0))
             base_score.append(float(cost[at].sum()) + end_cost)
         size = len(total)
@@ -398,7 +403,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
             {
                 key: table.column(key),
                 "held_out": table.column("held_out"),
-                "n_tokens": pa.array([len(w) + 1 for w in chunk.words], pa.int64()),
+                "n_tokens": pa.array(n_tokens, pa.int64()),
                 "n_known": pa.array(n_known, pa.int64()),
                 "train_tokens": pa.array([train_tokens] * size, pa.int64()),
                 "base_score": pa.array(base_score, pa.float64()),

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import as_bytes, batches_by_size, parts_for, total_bytes
+from trendspark.llm.common import as_bytes, batches_by_size, free, parts_for, total_bytes
 from trendspark.llm.hashing import Hashes, mix, run_hashes, slices, text_hash, word_codes
 from trendspark.session import materialize
 
@@ -242,9 +242,11 @@ def kept_words(data: bytes, ranges: list[dict] | None) -> tuple[list[bytes], int
 
 
 def _with_ranges(docs: DataFrame, text: str, size: int, mer: int) -> DataFrame:
+    """``docs`` and a last column with the ranges of its text."""
+    key, found = free(docs, "_key", "_ranges")
     ranges = materialize(repeated_ranges(docs, text, size, mer))
-    ranges = ranges.select(F.col("key").alias("_key"), F.col("ranges").alias("_ranges"))
-    return docs.withColumn("_key", text_key(text)).join(ranges, "_key", "left").drop("_key")
+    ranges = ranges.select(F.col("key").alias(key), F.col("ranges").alias(found))
+    return docs.withColumn(key, text_key(text)).join(ranges, key, "left").select(*docs.columns, found)
 
 
 def removal_digest(
@@ -254,7 +256,7 @@ def removal_digest(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_size(batches, text, 1 << 23):
-            rows = zip(as_bytes(batch.column(text)), batch.column("_ranges").to_pylist(), strict=True)
+            rows = zip(as_bytes(batch.column(text)), batch.column(-1).to_pylist(), strict=True)
             kept = [kept_words(data, ranges) for data, ranges in rows]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -277,7 +279,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", size: int = SIZE, mer: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_size(batches, text, 1 << 23):
             texts = []
-            rows = zip(batch.column(text).to_pylist(), batch.column("_ranges").to_pylist(), strict=True)
+            rows = zip(batch.column(text).to_pylist(), batch.column(-1).to_pylist(), strict=True)
             for value, ranges in rows:
                 if ranges:
                     kept, n = kept_words(value.encode(), ranges)

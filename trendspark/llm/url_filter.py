@@ -7,7 +7,8 @@ still open: first over hosts, then over the paths below each open host. Only Dat
 
 Defined results: a null url or one without ``://`` has an empty host and path and no rule; of equal
 rules ``block`` wins; of several rules that fit, the longest ``host + path``; where none fits, the
-default verdict. Repeated rows and extra columns stay as they are.
+default verdict. Repeated rows and extra columns stay as they are, but for columns named ``host``,
+``path``, ``rule`` or ``verdict``, which are replaced.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendspark.llm.common import free
 from trendspark.session import materialize
 
 #: Sorted keys in one step of the sweep.
@@ -106,6 +108,7 @@ def filter_urls(
     ``rules`` has ``action`` (allow or block), ``host`` and ``path``, the path from its slash on.
     """
     parted = with_url_parts(pages, url)
+    (found,) = free(parted, "_best")
     rules = (
         rules.filter(F.col("host").isNotNull())
         .select(
@@ -137,11 +140,11 @@ def filter_urls(
     )
     rule = F.concat("rule_host", "rule_path")
     best = fitting.groupBy("host", "path").agg(
-        F.max_by(F.struct(rule.alias("rule"), "action"), F.struct(F.length(rule), rule)).alias("_best")
+        F.max_by(F.struct(rule.alias("rule"), "action"), F.struct(F.length(rule), rule)).alias(found)
     )
     return (
         parted.join(best, ["host", "path"], "left")
-        .withColumn("rule", F.col("_best.rule"))
-        .withColumn("verdict", F.coalesce("_best.action", F.lit(default)))
-        .drop("_best")
+        .withColumn("rule", F.col(f"{found}.rule"))
+        .withColumn("verdict", F.coalesce(F.col(f"{found}.action"), F.lit(default)))
+        .drop(found)
     )

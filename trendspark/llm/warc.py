@@ -265,7 +265,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True, batch_bytes: i
 
 def page_records(pages: DataFrame) -> DataFrame:
     """Records of ``pages`` (page_id, url, html) for :func:`write_archives`."""
-    roles = with_roles(pages)
+    roles = with_roles(pages.select("page_id", "url", "html"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     return roles.select(
         F.concat(F.lit(ID), page).alias("record_id"),
