@@ -26,8 +26,8 @@ WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_upper", "n_letters", "n_marks", "n_distinct", "n_bare")
-#: Rows that trees are drawn from, trees, rows of a tree.
-POOL, TREES, TREE_ROWS = 8192, 128, 256
+#: Rows that trees are drawn from, trees, rows of a tree: few, so that groups of like anomalies do not hide each other.
+POOL, TREES, TREE_ROWS = 8192, 256, 16
 #: Share of labelled good rows that the forest may reject.
 MAX_GOOD_REJECTED = 0.005
 SCORE_STEPS = 10_000
@@ -214,14 +214,16 @@ def calibrate(
     return int(best[-1])
 
 
-def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def judge(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: float = MAX_GOOD_REJECTED
+) -> DataFrame:
     """Counts, ``base_failed``, ``anomaly`` (in steps), ``threshold`` and ``kept`` of every document."""
     statistics = materialize(rule_statistics(docs, key, text))
     scored = with_score(statistics, fit_forest(statistics)).withColumn(
         "base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
     )
     scored = materialize(scored)
-    threshold = calibrate(scored, labels, key)
+    threshold = calibrate(scored, labels, key, most)
     return scored.withColumn("threshold", F.lit(threshold).cast("bigint")).withColumn(
         "kept", ~F.col("base_failed") & (F.col("anomaly") < threshold)
     )
