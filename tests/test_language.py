@@ -80,3 +80,16 @@ def test_embedding_is_normed_and_hookable(spark):
 
     hooked = embedding.embed_with_model(df.filter(F.col("text_for_embedding") != ""), load)
     assert sorted(r.embedding[0] for r in hooked.collect()) == [5.0, 12.0, 12.0]
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    texts = spark.createDataFrame([("le chat et le chien",), ("the dog",), ("",), (None,), ("zzz",)], "text string")
+    profile = language.train_language_profile(labelled(spark))
+    wanted = rows(language.detect_language(texts, profile, ["text"]))
+    monkeypatch.setattr(language, "MATRIX_LANGUAGES", 1)
+    assert rows(language.detect_language(texts, profile, ["text"])) == wanted
+
+
+def test_profile_counts_whole_texts(spark):
+    samples = spark.createDataFrame([("a" * 300 + "xyz", "en")], "text string, lang string")
+    assert language.train_language_profile(samples).agg(F.sum("n")).first()[0] == 301

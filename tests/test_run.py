@@ -26,7 +26,10 @@ def landed_posts():
 
 def test_files_to_trends(spark, tmp_path):
     posts = list(landed_posts())
-    (tmp_path / "posts.json").write_text("\n".join(json.dumps(p) for p in [*posts, dict(posts[0], title="copy")]))
+    copy = dict(posts[0], title="copy")
+    # The first row of this id is of no listed category, so the id drops out.
+    hidden = [dict(posts[1], id="late", subreddit="chess", title="x", selftext="x"), dict(posts[1], id="late")]
+    (tmp_path / "posts.json").write_text("\n".join(json.dumps(p) for p in [*posts, copy, *hidden]))
     combined = landing.combine_sources(landing.read_posts(spark, str(tmp_path / "posts.json")))
     samples = [("the guard of the team", "en"), ("le but de la main", "fr")]
     profile = language.train_language_profile(spark.createDataFrame(samples, "text string, lang string"))

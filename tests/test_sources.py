@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from trendspark.schemas import COMBINED, TREND
+from trendspark.schemas import COMBINED, RAW_POST, TREND
 from trendspark.session import top_per_group, with_position
 from trendspark.sources import landing, sinks
 from trendspark.streaming.landing import ingest_new_posts
@@ -55,6 +55,21 @@ def test_read_feed_and_combine(spark, landed):
     assert found == {"p1": 0, "p3": 1, "p4": 2, "e1": 3, "l2": 4}
 
 
+def test_several_feeds_in_one_call(spark, landed):
+    (landed / "feeds" / "soccer").mkdir()
+    (landed / "feeds" / "soccer" / "news.xml").write_text(FEED)
+    both = landing.read_feed(spark, [str(landed / "feeds" / n) for n in ("nba", "soccer")])
+    assert sorted(r.category for r in both.collect()) == ["nba", "nba", "soccer", "soccer"]
+
+
+def test_broken_lines_are_never_silent(spark, landed):
+    (landed / "posts" / "b.json").write_text('{"id": "x", "score": 1}\n{"id": "y", \n')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed|FAILED_READ"):
+        landing.read_posts(spark, str(landed / "posts")).collect()
+    good, broken = landing.split_jsonl(spark, str(landed / "posts"), RAW_POST)
+    assert good.count() == 5 and rows(broken, "line") == [('{"id": "y", ',)]
+
+
 def test_jsonl_keeps_nulls_and_unicode(spark, tmp_path):
     df = spark.createDataFrame([("a", None), ("é", "x")], "k string, v string")
     sinks.write_jsonl(df.coalesce(1), str(tmp_path / "out"))
@@ -72,10 +87,12 @@ def test_trend_document_round_trip(spark, tmp_path):
     document = json.loads(text.strip())
     assert [t["cluster_id"] for t in document] == [0, 1] and "\\u00e9" in text.lower()
     assert document[1]["start_date"] is None
-    assert rows(landing.read_trends(spark, str(tmp_path / "trends"))) == rows(trends)
+    assert rows(landing.read_trends(spark, str(tmp_path / "trends"), multi_line=True)) == rows(trends)
+    sinks.write_trend_lines(trends, str(tmp_path / "lines"))
+    assert rows(landing.read_trends(spark, str(tmp_path / "lines"))) == rows(trends)
+    sinks.write_trends(trends.limit(0), str(tmp_path / "none"))
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "none").glob("part-*"))) == []
     assert landing.read_trends(spark, str(tmp_path / "absent")).count() == 0
-    paged = sinks.trend_document(trends, page_rows=1)
-    assert sum(len(json.loads(r.document)) for r in paged.collect()) == 2
 
 
 def test_partitioned_sinks(spark, tmp_path):

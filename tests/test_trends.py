@@ -17,10 +17,11 @@ def post(topic, seq, title, score, category="nba", text="", created=None):
     return (category, topic, f"p{seq}", seq, "reddit", title, title, text, None, text, score, 0, created, None)
 
 
-def test_members_are_segmented_and_rejoined(spark):
+def test_members_are_listed_and_rejoined(spark):
     df = spark.createDataFrame([("c", 0, f" {i} ", i) for i in (3, 1, 2, 7)], "category string, topic int, id string, ingest_seq bigint")
-    lists = topics.collect_members(df, segment_rows=4)
-    assert rows(lists) == [("c", 0, 0, ["1", "2", "3"]), ("c", 0, 1, ["7"])]
+    lists = topics.topic_members(df)
+    assert rows(lists) == [("c", 0, 0, "1"), ("c", 0, 1, "2"), ("c", 0, 2, "3"), ("c", 0, 3, "7")]
+    assert rows(topics.fold_members(lists)) == [("c", 0, ["1", "2", "3", "7"])]
     meta = spark.createDataFrame([("c", "1", 10, "old"), ("c", "1", 11, "new"), ("c", " 7", 12, "x")], "category string, id string, ingest_seq bigint, v string")
     twice = lists.unionByName(lists)
     assert rows(topics.posts_of_topics(twice, meta), "v") == [("new",), ("new",), ("x",), ("x",)]

@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from trendspark.operators import clustering, components, density, knn, reduce, search, spanning
+from trendspark.operators import clustering, components, density, embedding, knn, reduce, search, spanning
 
 CELLS = dict(broadcast_bytes=0, cell_rows=25, block_rows=16)
 
@@ -121,3 +121,48 @@ def test_assignment_and_map(spark):
     flat = reduce.reduce_dims(points, ["c"], 2)
     assert {len(r.vector) for r in flat.collect()} == {2}
     assert reduce.topic_map(points, ["c"]).count() == 2
+
+
+def test_reduction_without_spread(spark):
+    one = frame(spark, [1], [[3, 4, 0]], "solo").unionByName(frame(spark, [2, 3], [[1, 0, 0], [1, 0, 0]], "same"))
+    mixed = one.unionByName(frame(spark, range(10, 16), np.eye(6)[:, :3] + 0.1, "c"))
+    found = reduce.reduce_dims(mixed, None, 2).collect()
+    assert len(found) == 9 and all(v == 0 for r in found if r.category != "c" for v in r.vector)
+    axes = reduce.principal_axes(mixed, 2).filter("category = 'c'").first()
+    a = np.array(axes.axes)
+    assert np.allclose(a @ a.T, np.eye(2)) and axes.variances[0] >= axes.variances[1] > 0
+    assert reduce.topic_map(one.withColumn("topic", F.lit(0))).count() == 2
+
+
+def test_stored_categories_stay_text(spark, planted, tmp_path):
+    ids, vectors = planted
+    base = frame(spark, ids, vectors, "007").withColumn("title", F.concat(F.lit("t"), "id"))
+    search.build_vector_table(base, str(tmp_path / "v"), cell_rows=20)
+    queries = base.filter("id < 3").select("category", F.col("id").alias("query_id"), "vector")
+    found = search.search_table(spark, str(tmp_path / "v"), queries, 5, metadata=["title"]).collect()
+    assert len(found) == 5 * queries.count() and all(r.title == f"t{r.id}" and r.category == "007" for r in found)
+
+
+def test_metadata_of_few_hits_never_sorts_the_base(spark, planted):
+    ids, vectors = planted
+    base = frame(spark, ids, vectors).withColumn("title", F.lit("t"))
+    queries = base.filter("id = 1").select("category", F.col("id").alias("query_id"), "vector")
+    plan = search.vector_search(queries, base, 5, metadata=["title"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_search_by_text(spark, tmp_path):
+    posts = spark.createDataFrame(
+        [("nba", 1, "guard dunk rim"), ("nba", 2, "trade draft"), ("soccer", 3, "goal keeper")],
+        "category string, id bigint, text string",
+    )
+    idf = embedding.train_idf(posts, "text")
+    stored = embedding.embed_text(posts, idf, "text").withColumnRenamed("embedding", "vector")
+    search.build_vector_table(stored, str(tmp_path / "v"))
+    search.write_encoder(idf, str(tmp_path / "v"))
+    asked = spark.createDataFrame([(7, "a draft trade"), (8, "goal")], "query_id bigint, text string")
+    found = search.search_text(spark, str(tmp_path / "v"), asked, 1, metadata=["text"]).collect()
+    best = {q: min((r for r in found if r.query_id == q), key=lambda r: r.distance).text for q in (7, 8)}
+    assert best == {7: "trade draft", 8: "goal keeper"}
+    only = search.search_text(spark, str(tmp_path / "v"), asked, 5, "nba").collect()
+    assert {r.id for r in only} == {1, 2}

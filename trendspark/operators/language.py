@@ -14,20 +14,21 @@ from trendspark.functions.text import blank, bound, clean_text, supported_langua
 from trendspark.functions.wordlists import SUPPORTED_LANGUAGES
 from trendspark.session import materialize
 
-# A profile has at most languages x BUCKETS rows, whatever the training text.
+# A profile has at most languages x BUCKETS rows, whatever the training text. Up to so many
+# languages it is broadcast, 128 MB at most; beyond, texts and profile are joined.
 BUCKETS = 65_536
-MAX_LANGUAGES = 256
+MATRIX_LANGUAGES = 256
 SLICE_ROWS = 256
 
 
-def trigrams(text: Column, chars: int = 200) -> Column:
-    """Trigrams of the first ``chars`` characters of a cleaned text."""
+def trigrams(text: Column, chars: int | None = 200) -> Column:
+    """Trigrams of the first ``chars`` characters of a cleaned text, or of all."""
 
     def cut(head: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(head) - 2, F.lit(1)))
         return F.transform(starts, lambda i: head.substr(i, F.lit(3)))
 
-    return bound(F.lower(F.substring(text, 1, chars)), cut)
+    return bound(F.lower(text if chars is None else F.substring(text, 1, chars)), cut)
 
 
 def trigram_bucket(gram: Column) -> Column:
@@ -35,9 +36,9 @@ def trigram_bucket(gram: Column) -> Column:
 
 
 def train_language_profile(
-    labelled: DataFrame, text: str = "text", lang: str = "lang", chars: int = 200
+    labelled: DataFrame, text: str = "text", lang: str = "lang"
 ) -> DataFrame:
-    """Add-one smoothed log probability per language and seen bucket.
+    """Add-one smoothed log probability per language and seen bucket, counted over whole texts.
 
     ``floor_logp`` is the value of every bucket the language never showed.
     """
@@ -45,7 +46,7 @@ def train_language_profile(
     usable = cleaned.filter((F.col("text") != "") & F.col("lang").isNotNull())
     # Counted before they are hashed: there are few distinct trigrams.
     grams = (
-        usable.select("lang", F.explode(trigrams(F.col("text"), chars)).alias("gram"))
+        usable.select("lang", F.explode(trigrams(F.col("text"), None)).alias("gram"))
         .groupBy("lang", "gram")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -63,28 +64,23 @@ def train_language_profile(
     )
 
 
-def _profile_matrix(profile: DataFrame) -> tuple[list[str], np.ndarray]:
-    langs = [r["lang"] for r in profile.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"a profile holds at most {MAX_LANGUAGES} languages")
-    langs.sort()
+def _profile_matrix(profile: DataFrame, langs: list[str]) -> np.ndarray:
     rows = profile.select("lang", "bucket", "logp", "floor_logp").toPandas()
     matrix = np.empty((len(langs), BUCKETS))
     for i, lang in enumerate(langs):
         own = rows[rows["lang"] == lang]
         matrix[i] = own["floor_logp"].iloc[0]
         matrix[i, own["bucket"].to_numpy()] = own["logp"].to_numpy()
-    return langs, matrix
+    return matrix
 
 
-def language_scorer(profile: DataFrame, text: Column, chars: int = 200) -> Column:
-    """Best language of a cleaned text; ties to the first by name, blank is English.
+def head_buckets(text: Column, chars: int = 200) -> Column:
+    """Trigram buckets of a cleaned text's head, all in the JVM."""
+    return F.transform(trigrams(text, chars), trigram_bucket)
 
-    The profile is at most ``languages x 65,536`` numbers, so it is broadcast and the
-    scoring pass needs no shuffle of the texts.
-    """
-    langs, matrix = _profile_matrix(materialize(profile))
-    shared = profile.sparkSession.sparkContext.broadcast((langs, matrix))
+
+def _best_by_matrix(profile: DataFrame, langs: list[str], text: Column, chars: int) -> Column:
+    shared = profile.sparkSession.sparkContext.broadcast((langs, _profile_matrix(profile, langs)))
 
     @F.pandas_udf(StringType())
     def best(heads: pd.Series) -> pd.Series:
@@ -112,6 +108,30 @@ def language_scorer(profile: DataFrame, text: Column, chars: int = 200) -> Colum
     return best(F.lower(F.substring(text, 1, chars)))
 
 
+def _best_by_join(rows: DataFrame, profile: DataFrame, key: str) -> DataFrame:
+    """``key, language`` by joins, for profiles of any number of languages."""
+    floors = profile.select("lang", "floor_logp").distinct()
+    counted = rows.select(key, F.explode("_buckets").alias("bucket")).groupBy(key, "bucket").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    totals = counted.groupBy(key).agg(F.sum("_n").alias("_total"))
+    gained = counted.join(profile, "bucket").groupBy(key, "lang").agg(
+        F.sum(F.col("_n") * (F.col("logp") - F.col("floor_logp"))).alias("_gain")
+    )
+    # A language that shares no bucket with a text has its floor alone: the best of these stands for all.
+    best_floor = floors.orderBy(F.desc("floor_logp"), "lang").limit(1)
+    base = totals.crossJoin(F.broadcast(best_floor)).select(key, "lang", F.lit(0.0).alias("_gain"))
+    scored = (
+        gained.unionByName(base)
+        .groupBy(key, "lang").agg(F.max("_gain").alias("_gain"))
+        .join(floors, "lang")
+        .join(totals, key)
+        .withColumn("_score", F.round(F.col("_gain") + F.col("_total") * F.col("floor_logp"), 9))
+    )
+    order = F.struct((-F.col("_score")).alias("s"), F.col("lang").alias("lang"))
+    return scored.groupBy(key).agg(F.min(order)["lang"].alias("_language"))
+
+
 def language_text(fields: list[str]) -> Column:
     """Cleaned fields joined by a blank, the text a language is read from."""
     return F.concat_ws(" ", *(clean_text(F.col(f)) for f in fields))
@@ -121,8 +141,20 @@ def detect_language(
     df: DataFrame, profile: DataFrame, fields: list[str], chars: int = 200, out: str = "language"
 ) -> DataFrame:
     """Language of each row by its cleaned fields; blank rows are English."""
-    joined = df.withColumn("_joined", F.trim(language_text(fields)))
-    return joined.withColumn(out, language_scorer(profile, F.col("_joined"), chars)).drop("_joined")
+    text = F.trim(language_text(fields))
+    staged = df.withColumn("_joined", text)
+    kept = materialize(profile)
+    langs = sorted(r["lang"] for r in kept.select("lang").distinct().limit(MATRIX_LANGUAGES + 1).collect())
+    if not langs:
+        found = staged.withColumn(out, F.lit("en"))
+    elif len(langs) <= MATRIX_LANGUAGES:
+        found = staged.withColumn(out, _best_by_matrix(kept, langs, F.col("_joined"), chars))
+    else:
+        staged = materialize(staged.withColumn("_key", F.monotonically_increasing_id()))
+        heads = staged.filter("_joined != ''").withColumn("_buckets", head_buckets(F.col("_joined"), chars))
+        found = staged.join(_best_by_join(heads, kept, "_key"), "_key", "left")
+        found = found.withColumn(out, F.coalesce("_language", F.lit("en"))).drop("_key", "_language")
+    return found.drop("_joined")
 
 
 def language_report(df: DataFrame, language: str = "language") -> DataFrame:

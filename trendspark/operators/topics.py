@@ -34,22 +34,20 @@ def check_alignment(posts: DataFrame, labels: DataFrame, keys: Sequence[str] = (
     return counts[0].unionByName(counts[1])
 
 
-def collect_members(
-    posts: DataFrame, id: str = "id", seq: str = "ingest_seq", segment_rows: int = 65_536
-) -> DataFrame:
-    """Post ids per topic in row order, as arrays of at most ``segment_rows`` ids.
+def topic_members(posts: DataFrame, id: str = "id", seq: str = "ingest_seq") -> DataFrame:
+    """Post ids per topic in row order: one row ``(category, topic, position, post_id)`` a post.
 
-    A segment covers a fixed range of row numbers, so a topic that holds a third of
-    all posts becomes many rows instead of one unbounded array. Segments in order
-    are the whole list; a topic whose rows fit one range has a single array.
+    ``seq`` is unique within a topic. A topic that holds a third of all posts is many rows, not an array.
     """
-    member = F.struct(F.col(seq).alias("seq"), F.trim(F.col(id).cast("string")).alias("id"))
-    segment = F.floor(F.col(seq) / segment_rows).cast("bigint").alias("segment")
-    return (
-        posts.groupBy(*TOPIC, segment)
-        .agg(F.array_sort(F.collect_list(member)).alias("members"))
-        .select(*TOPIC, "segment", F.transform("members", lambda m: m["id"]).alias("post_ids"))
-    )
+    rows = posts.select(*TOPIC, F.col(seq).alias("_seq"), F.trim(F.col(id).cast("string")).alias("post_id"))
+    return with_position(rows, ["_seq"], TOPIC, "position").select(*TOPIC, "position", "post_id")
+
+
+def fold_members(listed: DataFrame) -> DataFrame:
+    """One array of ids per topic, for callers whose topics are small enough for one value."""
+    member = F.struct("position", "post_id")
+    folded = listed.groupBy(*TOPIC).agg(F.array_sort(F.collect_list(member)).alias("members"))
+    return folded.select(*TOPIC, F.transform("members", lambda m: m["post_id"]).alias("post_ids"))
 
 
 def members(posts: DataFrame, topic: int) -> DataFrame:
@@ -57,13 +55,13 @@ def members(posts: DataFrame, topic: int) -> DataFrame:
 
 
 def posts_of_topics(
-    member_lists: DataFrame, metadata: DataFrame, id: str = "id", seq: str = "ingest_seq"
+    listed: DataFrame, metadata: DataFrame, id: str = "id", seq: str = "ingest_seq"
 ) -> DataFrame:
     """Members joined to their post; unknown ids drop out, the last row of an id wins.
 
     A listed id counts as often as it is listed. Ids are trimmed on both sides.
     """
-    listed = member_lists.select(*TOPIC, F.explode("post_ids").alias("_id"))
+    listed = listed.select(*TOPIC, F.col("post_id").alias("_id"))
     posts = last_by_id(
         metadata.withColumn("_id", F.trim(F.col(id).cast("string"))), ["category", "_id"], seq
     )

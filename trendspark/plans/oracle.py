@@ -112,7 +112,7 @@ TRENDS = """trends AS (
   FROM kw LEFT JOIN dates USING (category, topic) LEFT JOIN titles USING (category, topic)
     LEFT JOIN sums USING (category, topic))"""
 
-KNOWN = "cluster_id <> -1 AND category IN ('en', 'fr', 'de')"
+KNOWN = "cluster_id <> -1 AND category IN ('en', 'fr', 'de', 'es')"
 
 CARDS = f"""hot AS (
   SELECT *, row_number() OVER (ORDER BY total_posts DESC, category, cluster_id)
@@ -169,7 +169,8 @@ DUPLICATES = """SELECT line, 'duplicate' AS rule FROM (
 BUCKET = "CAST('0x' || substr(md5({gram}), 1, 4) AS INTEGER)"
 TRIGRAMS = """SELECT {keys}, unnest(list_transform(range(1, greatest(length(h) - 2, 1) + 1), lambda i: substr(h, i, 3))) AS gram
   FROM (SELECT {keys}, lower(substr({clean}, 1, 200)) AS h FROM {table})"""
-PROFILE = f"""raw AS ({TRIGRAMS.format(keys='lang', clean=CLEAN, table='documents')}),
+WHOLE = TRIGRAMS.replace("lower(substr({clean}, 1, 200))", "lower({clean})")
+PROFILE = f"""raw AS ({WHOLE.format(keys='lang', clean=CLEAN, table='documents')}),
 seen AS (SELECT lang, {BUCKET.format(gram='gram')} AS bucket, count(*) AS n FROM raw GROUP BY ALL),
 totals AS (SELECT lang, sum(n) AS total FROM seen GROUP BY lang),
 profile AS (SELECT lang, bucket, n, ln((n + 1) / (total + 65536)) AS logp FROM seen JOIN totals USING (lang))"""
@@ -224,8 +225,8 @@ ORACLE: dict[str, str] = {
     "knn_graph_cells": GRAPH,
     "clean_text": f"""SELECT 'document' AS kind, doc_id AS row_id, 0 AS turn, {CLEAN} AS cleaned FROM documents
       UNION ALL SELECT 'turn', conv_id, turn, {CLEAN} FROM conversations""",
-    "unified_text": """SELECT a.conv_id, a.text || E'\\n\\n' || COALESCE(b.text, '') AS text
-      FROM conversations a LEFT JOIN (SELECT * FROM conversations WHERE turn = 1) b USING (conv_id) WHERE a.turn = 0""",
+    "unified_text": """SELECT a.conv_id, a.turn, a.text || E'\\n\\n' || COALESCE(b.text, '') AS text
+      FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""",
     "compose_text": with_(POSTS, COMPOSED, select="SELECT id, composed FROM composed"),
     "infer_category": """SELECT page_id, CASE
         WHEN g = 'en' THEN 'english' WHEN g = 'fr' THEN 'french'
@@ -234,7 +235,7 @@ ORACLE: dict[str, str] = {
         WHEN contains(lower(url), 'utm_') OR contains(lower(url), 'page=') OR contains(lower(html), 'utm_') OR contains(lower(html), 'page=') THEN 'query'
         ELSE 'other' END AS category
       FROM (SELECT *, lower(regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1)) AS g FROM pages)""",
-    "valid_ids": """SELECT doc_id, id FROM (SELECT doc_id, regexp_extract(text, '^[^.\\n]*', 0) AS id FROM documents)
+    "valid_ids": """SELECT doc_id, id FROM (SELECT doc_id, text AS id FROM documents)
       WHERE id <> '' AND lower(trim(id)) <> 'none'""",
     "supported_language": f"""SELECT doc_id, CASE WHEN lang IN ('en', {quoted(SUPPORTED_LANGUAGES)}) THEN lang
       ELSE 'unsupported' END AS detected_language FROM documents""",
@@ -269,8 +270,8 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT rule FROM ({MISSING.format(wanted=f"CASE WHEN source IN ({KNOWN_SOURCES}) THEN ['id', 'source', 'lang', 'n_chars'] ELSE CAST([] AS VARCHAR[]) END")})
         UNION ALL SELECT 'unknown_source' FROM lines WHERE NOT broken AND source NOT IN ({KNOWN_SOURCES})
         UNION ALL SELECT rule FROM ({DUPLICATES})) GROUP BY rule"""),
-    "collect_members": """SELECT label AS topic, vec_id // 200 AS segment,
-      string_agg('v' || vec_id, '|' ORDER BY vec_id) AS post_ids FROM embeddings GROUP BY ALL""",
+    "collect_members": """SELECT label AS topic,
+      row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS position, 'v' || vec_id AS post_id FROM embeddings""",
     "posts_of_topics": """WITH rows AS (SELECT lang AS category, source AS topic, md5(text) AS id, doc_id FROM documents),
       last AS (SELECT category, id, max(doc_id) AS ingest_seq FROM rows GROUP BY ALL)
       SELECT category, topic, id, last.ingest_seq FROM rows JOIN last USING (category, id)""",
@@ -312,7 +313,7 @@ ORACLE: dict[str, str] = {
     "summary_input": with_(POSTS, COMPOSED, TOP, INPUTS, select="SELECT * FROM inputs"),
     "summarize": trend_query("SELECT category, topic, summary FROM sums"),
     "trend_rows": trend_query(READABLE),
-    "filter_trends": trend_query(f"{READABLE} WHERE {KNOWN}"),
+    "filter_trends": trend_query(f"{READABLE} WHERE {KNOWN} AND category <> 'es'"),
     "search_trends": trend_query(f"""{READABLE} WHERE contains(lower(summary), 'the en')
       OR len(list_filter(top_titles, lambda t: contains(lower(t), 'the en'))) > 0"""),
     "keyword_facet": keyword_query("SELECT DISTINCT unnest(keywords) AS keyword FROM kw"),
@@ -338,7 +339,9 @@ posts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY
             SELECT g.conv_id, g.turn, t.lang, round(sum(COALESCE(p.logp, ln(1 / (t.total + 65536)))), 9) AS score
             FROM grams g CROSS JOIN totals t LEFT JOIN profile p ON p.lang = t.lang AND p.bucket = g.bucket
             GROUP BY ALL) GROUP BY ALL) USING (conv_id, turn)"""),
-    "language_report": "SELECT event_type AS language, count(*) AS n FROM events GROUP BY event_type",
+    "language_report": f"""SELECT language, count(*) AS n
+      FROM (SELECT lang AS language FROM documents UNION ALL SELECT event_type FROM events)
+      WHERE language NOT IN ('en', {quoted(SUPPORTED_LANGUAGES)}) GROUP BY language""",
     "translate_lexicon": TRANSLATED.format(clean=CLEAN, tokens="toks"),
     "translate_lexicon_parity": TRANSLATED.format(clean=CLEAN, tokens=CHUNKED),
     "embed_text": """WITH words AS (

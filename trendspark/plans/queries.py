@@ -70,7 +70,7 @@ def clean_text(spark, folder):
 @query
 def unified_text(spark, folder):
     return threads(spark, folder).select(
-        "conv_id", tx.unified_text(F.col("title"), F.col("body")).alias("text")
+        "conv_id", "turn", tx.unified_text(F.col("title"), F.col("body")).alias("text")
     )
 
 
@@ -93,9 +93,8 @@ def infer_category(spark, folder):
 
 @query
 def valid_ids(spark, folder):
-    documents = table(spark, folder, "documents").select(
-        "doc_id", F.regexp_extract("text", r"^[^.\n]*", 0).alias("id")
-    )
+    """Whole texts as ids."""
+    documents = table(spark, folder, "documents").select("doc_id", F.col("text").alias("id"))
     return dedup.valid_ids(documents).select("doc_id", "id")
 
 
@@ -236,8 +235,7 @@ def labelled_vectors(spark, folder):
 
 @query
 def collect_members(spark, folder):
-    lists = topics.collect_members(labelled_vectors(spark, folder), segment_rows=200)
-    return lists.select("topic", "segment", joined("post_ids").alias("post_ids"))
+    return topics.topic_members(labelled_vectors(spark, folder)).select("topic", "position", "post_id")
 
 
 @query
@@ -249,8 +247,7 @@ def posts_of_topics(spark, folder):
         F.md5("text").alias("id"),
         F.col("doc_id").alias("ingest_seq"),
     )
-    lists = topics.collect_members(rows, segment_rows=500)
-    matched = topics.posts_of_topics(lists, rows.drop("topic"))
+    matched = topics.posts_of_topics(topics.topic_members(rows), rows.drop("topic"))
     return matched.select("category", "topic", "id", "ingest_seq")
 
 
@@ -407,12 +404,14 @@ def trend_rows(spark, folder):
 
 # ---- dashboard
 
-LANGUAGES = ("en", "fr", "de")
+#: One language of the tables is left out, so that the filter has something to remove.
+LISTED = ("en", "fr", "de")
+LANGUAGES = (*LISTED, "es")
 
 
 @query
 def filter_trends(spark, folder):
-    return readable(dashboard.filter_trends(trend_table(spark, folder), "All", LANGUAGES))
+    return readable(dashboard.filter_trends(trend_table(spark, folder), "All", LISTED))
 
 
 @query
@@ -499,8 +498,10 @@ def detect_language(spark, folder):
 
 @query
 def language_report(spark, folder):
-    """Event types taken as language codes: none of them is supported."""
-    return language.language_report(table(spark, folder, "events"), "event_type")
+    """Document languages, all supported, and event types, which are not, as language codes."""
+    known = table(spark, folder, "documents").select(F.col("lang").alias("language"))
+    foreign = table(spark, folder, "events").select(F.col("event_type").alias("language"))
+    return language.language_report(known.unionByName(foreign))
 
 
 def lexicon(spark, folder):
@@ -529,7 +530,7 @@ def translate_lexicon_parity(spark, folder):
 @query
 def normalize_language(spark, folder):
     posts = threads(spark, folder).select(
-        F.col("conv_id").alias("ingest_seq"), "title", F.col("body").alias("selftext")
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("ingest_seq"), "title", F.col("body").alias("selftext")
     )
     profile = language.train_language_profile(table(spark, folder, "documents"))
     done = translation.normalize_language(posts, profile, lexicon(spark, folder))

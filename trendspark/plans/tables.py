@@ -53,11 +53,11 @@ def document_posts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def threads(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversations as posts: the opening turn is the title, the answer the body."""
+    """Conversations as posts: every turn is a title, the next turn its body."""
     turns = table(spark, folder, "conversations")
-    opening = turns.filter(F.col("turn") == 0).select("conv_id", F.col("text").alias("title"))
-    answer = turns.filter(F.col("turn") == 1).select("conv_id", F.col("text").alias("body"))
-    return opening.join(answer, "conv_id", "left")
+    opening = turns.select("conv_id", "turn", F.col("text").alias("title"))
+    answer = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("body"))
+    return opening.join(answer, ["conv_id", "turn"], "left")
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:

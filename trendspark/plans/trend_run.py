@@ -51,12 +51,12 @@ def prepare_posts(
 ) -> DataFrame:
     """Filtered, deduplicated and language-normalised posts with their embedding text.
 
-    Filter and deduplication depend on the id alone and run before the costly steps.
+    Ids are deduplicated before the categories are filtered: if the first row of an id is of
+    another category, the id drops out. Both run before the costly steps.
     """
     absent = {f.name: F.lit(None).cast(f.dataType) for f in COMBINED.fields if f.name not in combined.columns}
     whole = combined.withColumns(absent) if absent else combined
-    kept = whole.filter(F.col("category").isin(list(settings.categories)))
-    unique = dedup_first(valid_ids(kept))
+    unique = dedup_first(valid_ids(whole)).filter(F.col("category").isin(list(settings.categories)))
     english = normalize_language(
         unique, profile, lexicon, models.translate, chars=settings.language_chars, parity=settings.parity
     )
@@ -127,8 +127,8 @@ def run(
     embedded = spark.read.parquet(f"{out}/embedded")
     found = find_trends(embedded, method, models, settings)
     sinks.write_topics(found.topics, f"{out}/topics")
-    sinks.write_topics(topics.collect_members(found.posts), f"{out}/members")
-    sinks.write_trends(found.trends, f"{out}/trends")
+    sinks.write_topics(topics.topic_members(found.posts), f"{out}/members")
+    sinks.write_trend_lines(found.trends, f"{out}/trends")
     build_vector_table(
         found.posts.select("category", "id", "topic", "title_en", F.col("embedding").alias("vector")),
         f"{out}/vectors",

@@ -25,19 +25,41 @@ def build_session(app: str = "trendspark", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+#: Folders of local runs by application, removed when the process ends.
+_OWN_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
+#: Tables written since the last release.
+_WRITTEN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach; only a local run may make its own."""
+    """Folder every executor can reach; only a local run without a configured one has its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="trendspark-")
-        spark.sparkContext.setCheckpointDir(folder)
+        if context.applicationId not in _OWN_FOLDERS:
+            _OWN_FOLDERS[context.applicationId] = tempfile.TemporaryDirectory(
+                prefix="trendspark-", ignore_cleanup_errors=True
+            )
+        folder = _OWN_FOLDERS[context.applicationId].name
     return folder
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that cut lineage so far; frames that still read them are lost."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Widen a scan of fewer partitions than the cluster has cores; larger scans stay as they are."""
+    """Widen a scan of fewer partitions than the cluster has cores; larger scans stay as they are.
+
+    For scans only: counting the partitions of a plan with a shuffle would run it.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -51,6 +73,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from trendspark.functions.text import first_nonempty, infer_category, unified_text
 from trendspark.schemas import RAW_ITEM, RAW_POST, TREND
@@ -31,7 +31,20 @@ def scan_order(df: DataFrame) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
-    return scan_order(spark.read.schema(schema).json(path))
+    """Rows of JSON lines; a line that is no object of the schema fails the read."""
+    return scan_order(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
+
+
+def split_jsonl(
+    spark: SparkSession, path: str | list[str], schema: StructType
+) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and the broken lines as ``line`` with their place, for reads that must go on."""
+    marked = StructType([*schema.fields, StructField("_broken", StringType())])
+    lines = scan_order(spark.read.text(path)).filter(F.trim("value") != "")
+    parsed = F.from_json("value", marked, {"columnNameOfCorruptRecord": "_broken"})
+    rows = lines.withColumn("_parsed", parsed)
+    good = rows.filter("_parsed._broken IS NULL").select("_parsed.*", *SCAN_ORDER).drop("_broken")
+    return good, rows.filter("_parsed._broken IS NOT NULL").select(F.col("value").alias("line"), *SCAN_ORDER)
 
 
 def read_trends(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -108,7 +121,7 @@ def read_feed(
     """
     reader = spark.read.format("xml").option("rowTag", "item").schema(RAW_ITEM)
     paths = path if isinstance(path, list) else [path]
-    items = scan_order(reader.load(",".join(paths)))
+    items = scan_order(reader.load(paths))
     title, summary = F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))
     return items.select(
         F.coalesce(first_nonempty(F.col("guid")), F.col("link")).alias("id"),

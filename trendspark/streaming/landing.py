@@ -21,6 +21,7 @@ def ingest_new_posts(
     raw = (
         spark.readStream.schema(RAW_POST)
         .option("maxFilesPerTrigger", files_per_batch)
+        .option("mode", "FAILFAST")
         .json(landed)
     )
     return (
