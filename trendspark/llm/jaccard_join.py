@@ -20,6 +20,7 @@ before anything is compared; a null id counts in its component but never names i
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -40,6 +41,8 @@ SLICE_BYTES = 1 << 24
 BUCKET_BYTES = 1 << 25
 #: Shingles of the sets that are compared in one block.
 BLOCK_SHINGLES = 1 << 18
+#: Cells of the counts that bound differences; cells are named by eight bits.
+CELLS = 256
 #: Sets up to this size are listed under several hashes.
 SMALL, SMALL_SEEDS = 64, 3
 LISTED = "kind int, `{key}` {type}, set bigint, n bigint, bucket bigint, blob binary"
@@ -246,24 +249,38 @@ def gather(table: pa.Table) -> pa.Table:
 
 
 class Sets:
-    """Shingle sets of one block, for counting one set's intersections with all."""
+    """Shingle sets of one block, for finding all that link with one of them.
 
-    def __init__(self, texts: list[bytes], size: int) -> None:
-        hashes = Hashes()
+    Sets lie in order of size, so that those of fitting size are one stretch. Counts of shingles by
+    cell bound the differences of two sets from below; what the bound leaves is counted exactly.
+    """
+
+    def __init__(self, texts: list[bytes], size: int, percent: int) -> None:
+        hashes, self.percent = Hashes(), percent
         found = [shingle_set(t, hashes, size) for t in texts]
+        self.at = sorted(range(len(found)), key=lambda i: len(found[i]))
+        self.place = np.argsort(self.at)
+        found = [found[i] for i in self.at]
         self.sizes = np.array([len(f) for f in found], np.int64)
-        self.first = np.cumsum(self.sizes) - self.sizes
-        every = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        names, self.ids = np.unique(every, return_inverse=True)
-        self.mark = np.zeros(len(names), np.int32)
-
-    def linked(self, one: int, percent: int) -> np.ndarray:
-        """Whether each set links with set ``one``."""
-        own = self.ids[self.first[one]:self.first[one] + self.sizes[one]]
-        self.mark[own] = 1
-        common = np.add.reduceat(self.mark[self.ids], self.first)
-        self.mark[own] = 0
-        return 100 * common >= percent * (self.sizes + self.sizes[one] - common)
+        self.names, ids = np.unique(np.concatenate(found), return_inverse=True)
+        self.ids = np.split(ids, np.cumsum(self.sizes)[:-1])
+        self.mark = np.zeros(len(self.names), np.int64)
+        cell = (mix(self.names) >> np.uint64(56)).astype(np.int64)
+        self.cells = np.stack([np.bincount(cell[own], minlength=CELLS) for own in self.ids]).astype(np.int32)
+
+    def linked(self, one: int) -> list[int]:
+        """The sets that link with set ``one``, itself included."""
+        own = int(self.place[one])
+        n, p = int(self.sizes[own]), self.percent
+        low = int(np.searchsorted(self.sizes, -(-n * p // 100)))
+        high = int(np.searchsorted(self.sizes, n * 100 // p, side="right"))
+        least = np.abs(self.cells[low:high] - self.cells[own]).sum(axis=1)
+        near = low + np.flatnonzero((100 + p) * least <= (100 - p) * (self.sizes[low:high] + n))
+        self.mark[self.ids[own]] = 1
+        common = np.array([self.mark[self.ids[j]].sum() for j in near.tolist()])
+        self.mark[self.ids[own]] = 0
+        good = near[100 * common >= p * (self.sizes[near] + n - common)]
+        return [self.at[j] for j in good.tolist()]
 
 
 class Forest:
@@ -293,13 +310,14 @@ def compare_block(table: pa.Table, size: int, percent: int) -> pa.Table:
     for cluster, members in clusters.items():
         # The centre comes first, so that its tree has it as root.
         names = sorted(members, key=lambda s: (s != centre_of[cluster], s))
-        sets, trees = Sets([members[s] for s in names], size), Forest(len(names))
-        reached = sets.linked(0, percent)
-        for i in np.flatnonzero(reached).tolist():
+        sets, trees = Sets([members[s] for s in names], size, percent), Forest(len(names))
+        reached = set(sets.linked(0))
+        for i in reached:
             trees.join(0, i)
-        for i in np.flatnonzero(~reached).tolist():
-            for j in np.flatnonzero(sets.linked(i, percent)).tolist():
-                trees.join(i, j)
+        for i in range(len(names)):
+            if i not in reached:
+                for j in sets.linked(i):
+                    trees.join(i, j)
         for i, name in enumerate(names):
             root = trees.root(i)
             out[0].append(name)
@@ -312,11 +330,13 @@ def compare_across(table: pa.Table, size: int, percent: int) -> pa.Table:
     """Links (set, root) of the left-over sets of a block pair with the sets of the block."""
     names = table.column("set").to_pylist()
     left = table.column("left_over").to_pylist()
-    sets = Sets(as_bytes(table.column("text").combine_chunks()), size)
+    if not any(left):
+        return pa.table({"set": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+    sets = Sets(as_bytes(table.column("text").combine_chunks()), size, percent)
     edges, done = set(), Forest(len(names))
     for i, is_left in enumerate(left):
         if is_left:
-            for j in np.flatnonzero(sets.linked(i, percent)).tolist():
+            for j in sets.linked(i):
                 if done.root(i) != done.root(j):
                     done.join(i, j)
                     edges.add((names[i], names[j]))
@@ -325,13 +345,15 @@ def compare_across(table: pa.Table, size: int, percent: int) -> pa.Table:
 
 
 def _blocks(nodes: DataFrame, packs: int) -> DataFrame:
-    """Adds ``pack`` and ``salt``: small clusters are packed together, large ones cut."""
-    cut = F.expr(f"CAST(ceil(weight / {BLOCK_SHINGLES}) AS bigint)")
+    """Adds ``cuts``, ``pack``, ``band`` and ``salt``: small clusters are packed together, large ones
+    are cut by band of sizes, and a band by hash."""
+    cut = F.expr(f"CAST(ceil(band_weight / {BLOCK_SHINGLES}) AS bigint)")
     whole = F.col("weight") <= BLOCK_SHINGLES
     return nodes.withColumns(
         {
-            "cuts": F.when(whole, F.lit(1)).otherwise(cut),
+            "cuts": F.when(whole, F.lit(0)).otherwise(cut),
             "pack": F.when(whole, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(F.col("cluster")),
+            "band": F.when(whole, F.lit(-1)).otherwise(F.col("band")),
             "salt": F.when(whole, F.lit(-1)).otherwise(F.pmod(F.xxhash64("set"), cut)),
         }
     )
@@ -352,42 +374,54 @@ def link_edges(docs: DataFrame, listed: DataFrame, buckets: int, text: str, size
     summary = nodes.groupBy("cluster").agg(
         F.sum("n").alias("weight"), F.max_by("set", F.struct("company", "set")).alias("centre")
     )
-    nodes = materialize(nodes.join(summary, "cluster"))
+    # Sets that link are in one band of sizes or in neighbouring ones.
+    width = -math.log(percent / 100) * (1 + 1e-9)
+    nodes = nodes.join(summary, "cluster").withColumn("band", F.floor(F.log("n") / width))
+    banded = nodes.groupBy("cluster", "band").agg(F.sum("n").alias("band_weight"))
+    nodes = materialize(nodes.join(banded, ["cluster", "band"]))
     weight = nodes.agg(F.sum("n").alias("n")).first()["n"] or 0
     nodes = _blocks(nodes, parts_for(docs.sparkSession, weight, BLOCK_SHINGLES))
     texts = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("set"), F.col(text).alias("text"))
     # One text per hash before the join, first within each task.
     members = materialize(
         texts.groupBy("set").agg(F.first("text").alias("text")).join(
-            nodes.select("set", "cluster", "centre", "cuts", "pack", "salt"), "set"
+            nodes.select("set", "cluster", "centre", "cuts", "pack", "band", "salt"), "set"
         )
     )
-    guests = members.filter("set = centre and cuts > 1").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1))
+    cut = members.filter("cuts > 0")
+    every = cut.select("cluster", "band", "salt").distinct()
+    guests = (
+        cut.filter("set = centre").drop("band", "salt")
+        .join(every, "cluster").select(*members.columns)
     )
     inside = materialize(
         members.unionByName(guests)
-        .select("pack", "salt", "cluster", "centre", "set", "text")
-        .groupBy("pack", "salt")
+        .select("pack", "band", "salt", "cluster", "centre", "set", "text")
+        .groupBy("pack", "band", "salt")
         .applyInArrow(lambda t: compare_block(t, size, percent), "set bigint, root bigint, reached boolean")
     )
-    left = members.filter("cuts > 1").join(inside.filter("not reached").select("set").distinct(), "set", "left_semi")
-    left = materialize(left)
-    turns = left.groupBy("cluster").agg(
+    left = materialize(cut.join(inside.filter("not reached").select("set").distinct(), "set", "left_semi"))
+    turns = left.groupBy("cluster", "band").agg(
         F.expr(f"CAST(ceil(sum(length(text)) / {8 * BLOCK_SHINGLES}) AS bigint)").alias("turns")
     )
-    blocks = members.filter("cuts > 1").join(turns, "cluster")
-    blocks = blocks.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns") - 1)))
+    # A block meets the left-over sets of its band and of the neighbours, a turn of them at a time.
+    visits = turns.withColumnRenamed("band", "from_band").withColumn("band", F.explode(
+        F.sequence(F.col("from_band") - 1, F.col("from_band") + 1)
+    )).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns") - 1)))
+    blocks = cut.join(visits.drop("turns"), ["cluster", "band"])
     asking = (
-        left.drop("salt").join(turns, "cluster")
+        left.drop("salt").join(turns, ["cluster", "band"])
         .withColumn("turn", F.pmod(F.xxhash64("set"), F.col("turns")))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)))
+        .withColumnRenamed("band", "from_band").withColumn("band", F.explode(
+            F.sequence(F.col("from_band") - 1, F.col("from_band") + 1)
+        ))
+        .join(every, ["cluster", "band"])
     )
-    columns = ["cluster", "salt", "turn", "set", "text"]
+    columns = ["cluster", "band", "salt", "from_band", "turn", "set", "text"]
     across = (
         blocks.select(*columns, F.lit(False).alias("left_over"))
         .unionByName(asking.select(*columns, F.lit(True).alias("left_over")))
-        .groupBy("cluster", "salt", "turn")
+        .groupBy(*columns[:5])
         .applyInArrow(lambda t: compare_across(t, size, percent), "set bigint, root bigint")
     )
     forest = inside.select("set", "root").unionByName(across).filter("set != root")
