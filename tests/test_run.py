@@ -1,7 +1,8 @@
 import json
 import random
 
-from trendspark.operators import language
+from trendspark.config import Settings
+from trendspark.operators import language, search
 from trendspark.plans import trend_run
 from trendspark.sources import landing
 
@@ -41,3 +42,6 @@ def test_files_to_trends(spark, tmp_path):
     assert all(r.keywords and r.summary and r.start_date for r in rows)
     assert landing.read_trends(spark, f"{out}/trends").count() == len(rows)
     assert spark.read.parquet(f"{out}/vectors/vectors").count() == 48
+    asked = spark.createDataFrame([(1, "guard dunk rim"), (2, "club fee")], "query_id bigint, text string")
+    hits = search.search_text(spark, f"{out}/vectors", asked, 1, metadata=["title_en"], dim=Settings().embedding_dim)
+    assert {(h.query_id, h.category) for h in hits.collect()} == {(q, c) for q in (1, 2) for c in WORDS}

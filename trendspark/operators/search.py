@@ -15,8 +15,6 @@ from trendspark.operators.embedding import hashed_vector
 from trendspark.session import materialize
 
 
-#: Queries compared with the pivots at once.
-VISIT_ROWS = 256
 #: Hits of ids and numbers that are sent to every task; more are joined by a shuffle.
 BROADCAST_HITS = 100_000
 
@@ -95,8 +93,8 @@ def visited_cells(queries: DataFrame, cells: DataFrame, k: int) -> list[tuple[st
                 known = own[name]
                 reach = known["reach"].to_numpy()[None, :]
                 pivots, met = knn.matrix(known["pivot"]), np.zeros(len(known), bool)
-                for start in range(0, len(asked), VISIT_ROWS):
-                    part = knn.matrix(asked["vector"].iloc[start : start + VISIT_ROWS])
+                for rows_ in knn.row_slices(asked, len(known)):
+                    part = knn.matrix(rows_["vector"])
                     to_pivot = np.sqrt(knn.squared_distances(part, pivots))
                     # All n rows of a cell lie within its reach: enough cells bound the k-th distance.
                     farthest = to_pivot + reach

@@ -354,4 +354,21 @@ posts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY
       cells AS (SELECT doc_id, dim, sum(sign * idf) AS v FROM words JOIN idf USING (bucket) GROUP BY ALL),
       normed AS (SELECT doc_id, dim, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM cells)
       SELECT doc_id, dim, round(v, 6) + 0.0::DOUBLE AS value FROM normed WHERE abs(v) > 1e-12""",
+    "search_text": """WITH w AS (
+        SELECT 'd' AS side, doc_id AS k, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents
+        UNION ALL SELECT 'q', item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) FROM benchmark),
+      coded AS (
+        SELECT side, k, CAST('0x' || substr(md5(w), 1, 4) AS INTEGER) AS bucket,
+          CAST('0x' || substr(md5(w), 5, 4) AS INTEGER) % 64 AS dim,
+          CASE WHEN substr(md5(w), 9, 1) >= '8' THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sign FROM w),
+      idf AS (SELECT bucket, count(DISTINCT k) AS df FROM coded WHERE side = 'd' GROUP BY bucket),
+      cells AS (
+        SELECT side, k, dim, sum(sign * (ln((1 + (SELECT count(*) FROM documents)) / (1 + COALESCE(df, 0))) + 1)) AS v
+        FROM coded LEFT JOIN idf USING (bucket) GROUP BY ALL),
+      normed AS (SELECT side, k, dim, v / sqrt(sum(v * v) OVER (PARTITION BY side, k)) AS v FROM cells),
+      near AS (
+        SELECT q.k AS query_id, d.k AS id, 2 - 2 * sum(q.v * d.v) AS d2
+        FROM normed q JOIN normed d USING (dim) WHERE q.side = 'q' AND d.side = 'd' GROUP BY ALL),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d2, 9), id) AS rank FROM near)
+      SELECT query_id, id, rank, abs(round(d2, 6)) AS distance FROM ranked WHERE rank <= 5""",
 }

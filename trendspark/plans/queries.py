@@ -568,6 +568,20 @@ def search_vector_table(spark, folder):
     return hits.select("query_id", "id", "rank", rounded("distance").alias("distance"))
 
 
+@query
+def search_text(spark, folder):
+    """Benchmark texts asked of the documents, encoded in the documents' space."""
+    path = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    documents = table(spark, folder, "documents").select(F.lit("all").alias("category"), F.col("doc_id").alias("id"), "text")
+    idf = materialize(embedding.train_idf(documents, "text"))
+    stored = documents.withColumn("vector", embedding.hashed_vector(F.col("text"), idf, 64)).drop("text")
+    search.build_vector_table(stored, path, cell_rows=64)
+    search.write_encoder(idf, path)
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    hits = search.search_text(spark, path, asked, 5)
+    return hits.select("query_id", "id", "rank", rounded("distance").alias("distance"))
+
+
 @query
 def knn_graph(spark, folder):
     graph = knn.knn_graph(vectors(spark, folder), 5)

@@ -15,7 +15,7 @@ from trendspark.operators import topics
 from trendspark.operators.clustering import cluster_topics
 from trendspark.operators.dedup import dedup_first, valid_ids
 from trendspark.operators.embedding import embed_text, embed_with_model, train_idf
-from trendspark.operators.search import build_vector_table
+from trendspark.operators.search import build_vector_table, write_encoder
 from trendspark.operators.summary import summarize, summarize_with_model
 from trendspark.operators.translation import ModelLoader, normalize_language
 from trendspark.operators.trends import order_trends, summary_input, top_posts, top_titles, trend_rows
@@ -123,7 +123,14 @@ def run(
     spark = combined.sparkSession
     prepared = materialize(prepare_posts(combined, profile, lexicon, models, settings))
     sinks.write_jsonl(prepared, f"{out}/posts_en")
-    sinks.write_embeddings(embed_posts(prepared, models, settings), f"{out}/embedded")
+    if models.embed is None:
+        # Stored beside the vectors, so that later query texts get into the same space.
+        idf = materialize(train_idf(prepared))
+        write_encoder(idf, f"{out}/vectors")
+        vectors = embed_text(prepared, idf, dim=settings.embedding_dim)
+    else:
+        vectors = embed_posts(prepared, models, settings)
+    sinks.write_embeddings(vectors, f"{out}/embedded")
     embedded = spark.read.parquet(f"{out}/embedded")
     found = find_trends(embedded, method, models, settings)
     sinks.write_topics(found.topics, f"{out}/topics")
