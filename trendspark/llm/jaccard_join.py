@@ -267,6 +267,7 @@ class Sets:
         self.mark = np.zeros(len(self.names), np.int64)
         cell = (mix(self.names) >> np.uint64(56)).astype(np.int64)
         self.cells = np.stack([np.bincount(cell[own], minlength=CELLS) for own in self.ids]).astype(np.int32)
+        self.coarse = self.cells.reshape(len(found), CELLS // 8, 8).sum(axis=2, dtype=np.int32)
 
     def linked(self, one: int) -> list[int]:
         """The sets that link with set ``one``, itself included."""
@@ -274,8 +275,11 @@ class Sets:
         n, p = int(self.sizes[own]), self.percent
         low = int(np.searchsorted(self.sizes, -(-n * p // 100)))
         high = int(np.searchsorted(self.sizes, n * 100 // p, side="right"))
-        least = np.abs(self.cells[low:high] - self.cells[own]).sum(axis=1)
-        near = low + np.flatnonzero((100 + p) * least <= (100 - p) * (self.sizes[low:high] + n))
+        near = np.arange(low, high)
+        # Few coarse cells part most unlike sets, fine ones the rest.
+        for cells in (self.coarse, self.cells):
+            least = np.abs(cells[near] - cells[own]).sum(axis=1)
+            near = near[(100 + p) * least <= (100 - p) * (self.sizes[near] + n)]
         self.mark[self.ids[own]] = 1
         common = np.array([self.mark[self.ids[j]].sum() for j in near.tolist()])
         self.mark[self.ids[own]] = 0
