@@ -17,7 +17,7 @@ class Hashes(dict):
     """64-bit hash of a word; starts anew when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

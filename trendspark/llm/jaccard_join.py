@@ -36,9 +36,9 @@ from trendspark.operators.components import connected_components
 from trendspark.session import materialize
 
 WORDS, PERCENT = 4, 85
-SLICE_BYTES = 1 << 24
+SLICE_BYTES = 1 << 22
 #: Bytes of text whose list entries share a bucket.
-BUCKET_BYTES = 1 << 25
+BUCKET_BYTES = 1 << 24
 #: Shingles of the sets that are compared in one block.
 BLOCK_SHINGLES = 1 << 18
 #: Cells of the counts that bound differences; cells are named by eight bits.

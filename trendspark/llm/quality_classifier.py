@@ -38,7 +38,7 @@ class Buckets(dict):
     """Bucket of a word; starts anew when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         bucket = self[word] = zlib.crc32(word) & (BUCKETS - 1)
         return bucket
