@@ -15,9 +15,11 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -200,8 +202,13 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = get()
         for batch in batches_by_size(batches, text, BATCH_BYTES):
-            found = [list(chain.from_iterable(bpe.encode(t.decode()))) for t in as_bytes(batch.column(text))]
-            yield batch.append_column(ids, pa.array(found, pa.list_(pa.int32())))
+            flat, ends = array("i"), [0]
+            for value in as_bytes(batch.column(text)):
+                for part in bpe.encode(value.decode()):
+                    flat.extend(part)
+                ends.append(len(flat))
+            values = pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32))
+            yield batch.append_column(ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
 
     schema = T.StructType(df.schema.fields + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
     return df.mapInArrow(run, schema)
@@ -217,7 +224,12 @@ def decode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = get()
         for batch in batches:
-            found = [bpe.decode(row or []) for row in batch.column(ids).to_pylist()]
+            column = batch.column(ids)
+            sizes = column.value_lengths().fill_null(0).to_pylist()
+            flat, found, at = column.flatten().to_numpy().tolist(), [], 0
+            for size in sizes:
+                found.append(bpe.decode(flat[at:at + size]))
+                at += size
             yield batch.append_column(decoded, pa.array(found, pa.binary()))
 
     return df.mapInArrow(run, T.StructType(df.schema.fields + [T.StructField(decoded, T.BinaryType())]))
