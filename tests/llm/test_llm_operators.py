@@ -207,6 +207,37 @@ def test_html():
     assert html_text.main_text("<p>a < b, &am") == "a < b, &am"
 
 
+BODY = "<p>The first sentence of the body, long enough.</p><p>The second one; it is here, too.</p>"
+BODY_TEXT = "The first sentence of the body, long enough. The second one; it is here, too."
+
+
+@pytest.mark.parametrize("mark", [
+    'div class="layout has-sidebar"', 'div class="no-banner"', 'div id="related-work"', 'form id="aspnetForm" action="/"',
+    'div role="form"', 'section class=widget',
+])
+def test_html_hints_keep_articles(mark):
+    end = f"</{mark.split()[0]}>"
+    menu = '<div class="menu"><a href="/">Home</a></div>'
+    for body in (BODY, f"<article>{BODY}</article>", f"<main>{BODY}</main>"):
+        assert html_text.main_text(f"<body><{mark}>{body}{end}</body>") == BODY_TEXT
+        assert html_text.main_text(f"<body><nav>One</nav><{mark}>{menu}{body}{end}<footer>Us.</footer></body>") == BODY_TEXT
+    # A short article stays as it is one.
+    assert html_text.main_text(f"<{mark}><article><p>Short</p></article>{end}") == "Short"
+    # Equal tags and classes with other ids are other paths.
+    assert html_text.main_text(f'<div id="menu"><p>Go</p></div><div id="text">{BODY}</div>') == BODY_TEXT
+
+
+def test_html_attributes():
+    for mark in ('href="/x?id=share"', 'data-id="ad-12"', 'title="The hidden cost"', "data-x='a class=ad' href=/y",
+                 'title="display:none"', 'data-role="menu"', 'aria-hidden="false"', "href=/a?class=menu"):
+        assert html_text.main_text(f"<article><p>Some text, <a {mark}>a link</a>ed word.</p></article>") == "Some text, a linked word."
+    for mark in ('CLASS = "ad"', "data-y='class' id=share", "hidden", "hidden=''", 'style="color:red; display : none"', "role=menu"):
+        page = f"<article>{BODY * 3}<div {mark}>Go, on.</div></article>"
+        assert html_text.main_text(page) == " ".join([BODY_TEXT] * 3)
+    # A hinted inline element that stays doesn't part words.
+    assert html_text.main_text('<p>un<b class="no-banner">brok</b>en <i class="ad">word</i></p>'.replace("<p>", "<form>")) == "unbroken word"
+
+
 def test_html_frame(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "u", ""), (3, "u", "<p>" + "word, " * 100_000)]
     pages = spark.createDataFrame([(*r, "t") for r in rows], "page_id bigint, url string, html string, text string")

@@ -5,7 +5,11 @@ punctuation are summed per path and divided by the path's blocks; both ratios ar
 order and multiplied. The paths over a threshold, a share of the scores' deviation, show where the
 content lies: the closest article or main element around the best path, else the best path's
 parent. Every path inside it is content, headings and short paragraphs too, unless one of its
-elements is page furniture by tag, role or class.
+elements is page furniture by tag or role, or hidden. A form, or a listed word in a class or id, is
+only a hint: such an element is furniture if it holds no article or main, and neither one of its
+paths nor all of them together reach the threshold. Where an article or main has text of its own, a
+plain hint (a form, or a name of listed words only, as ``ad`` but not ``no-banner``) outside of it is
+furniture, and one inside has to reach the best path without hints.
 
 Defined results: null and empty pages, and pages without content, give the empty text; broken
 markup ends where the page ends; nothing is cut off or dropped for its length. A page is one row's
@@ -36,12 +40,12 @@ BLOCK = {
     "pre", "search", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 FURNITURE = {
-    "nav", "aside", "footer", "form", "menu", "dialog", "select", "button", "head", "search", "svg", "canvas",
+    "nav", "aside", "footer", "menu", "dialog", "select", "button", "head", "search", "svg", "canvas",
     "object", "audio", "video", "datalist", "fieldset",
 }
 ROLES = {
     "navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu",
-    "menubar", "form", "toolbar",
+    "menubar", "toolbar",
 }
 CLASS_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner",
@@ -62,8 +66,8 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)(?:>|\Z)",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
-HIDDEN = re.compile(r"""\shidden(?:[\s=/]|\Z)|display\s*:\s*none""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]*))?""")
+HIDDEN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？、]")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
@@ -73,60 +77,111 @@ WINDOW = (0.25, 0.5, 0.25)
 SHARE = 0.5
 
 
-def is_furniture(tag: str, attributes: str) -> bool:
+#: What an element's tag and attributes say of it.
+PLAIN, WEAK, STRONG, FURNISHED = range(4)
+
+
+def attributes_of(source: str) -> dict[str, str]:
+    """Values by lower-case name, without quotes; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(source):
+        found.setdefault(name.lower(), value.strip(value[:1]) if value[:1] in ("'", '"') else value)
+    return found
+
+
+def furniture(tag: str, attributes: dict[str, str]) -> int:
     """Menus, adverts and the like by tag, role, class or id."""
-    if tag in FURNITURE or tag in RAW:
-        return True
-    if not attributes:
-        return False
-    for name, value in ATTRIBUTE.findall(attributes):
-        words = WORD.findall(value.lower())
-        if name.lower() == "role":
-            if not ROLES.isdisjoint(words):
-                return True
-        elif tag not in ("body", "html", "article", "main") and not CLASS_WORDS.isdisjoint(words):
-            return True
-        elif tag == "article" and not {"comment", "comments"}.isdisjoint(words):
-            return True
-    return bool(HIDDEN.search(attributes))
+    roles = WORD.findall(attributes.get("role", "").lower())
+    if tag in FURNITURE or tag in RAW or not ROLES.isdisjoint(roles):
+        return FURNISHED
+    if "hidden" in attributes or HIDDEN.search(attributes.get("style", "")):
+        return FURNISHED
+    listed = {"comment", "comments"} if tag == "article" else CLASS_WORDS
+    if tag in ("body", "html", "main"):
+        return PLAIN
+    if tag == "form" or "form" in roles:
+        return STRONG
+    found = PLAIN
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = WORD.findall(name)
+        if not listed.isdisjoint(words):
+            found = max(found, STRONG if listed.issuperset(words) else WEAK)
+    return found
 
 
 class Paths:
-    """Tag paths of one page: parent, furniture, closest container and measures of each."""
+    """Tag paths of one page: parent, furniture, hint, closest container and measures of each."""
 
     def __init__(self) -> None:
-        self.ids: dict[tuple[int, str], int] = {}
-        self.parent, self.bad, self.holder = [-1], [False], [-1]
+        self.ids: dict[tuple[int, str, int], int] = {}
+        self.parent, self.bad, self.hint, self.holder = [-1], [False], [PLAIN], [-1]
         self.length, self.marks, self.blocks = [0], [0], [0]
 
-    def below(self, parent: int, tag: str, label: str, bad: bool) -> int:
-        key = (parent, label)
+    def below(self, parent: int, tag: str, label: str, kind: int) -> int:
+        key = (parent, label, kind)
         if key not in self.ids:
             new = self.ids[key] = len(self.parent)
             self.parent.append(parent)
             # A page's banner is furniture, a header inside an article holds its title.
             banner = tag == "header" and self.holder[parent] < 0
-            self.bad.append(bad or banner or self.bad[parent])
+            self.bad.append(kind == FURNISHED or banner or self.bad[parent])
+            self.hint.append(kind)
             self.holder.append(new if tag in CONTAINER else self.holder[parent])
             for counts in (self.length, self.marks, self.blocks):
                 counts.append(0)
         return self.ids[key]
 
+    def decide(self, threshold: float, total: int) -> None:
+        """Hinted paths without a container and below their threshold become furniture."""
+        many = len(self.parent)
+        sums, best, holds = [(0, 0, 0)] * many, [0.0] * many, [False] * many
+        hinted, contained = [False] * many, -1.0
+
+        def score(n_chars: int, n_marks: int, n_blocks: int) -> float:
+            return n_chars / n_blocks * (n_marks / n_blocks + 0.1) * math.sqrt(n_chars / total)
+
+        for p in range(many):  # parents come before what is below them
+            hinted[p] = self.hint[p] != PLAIN or (p > 0 and hinted[self.parent[p]])
+            if self.blocks[p] and not self.bad[p]:
+                sums[p] = self.length[p], self.marks[p], self.blocks[p]
+                best[p] = score(*sums[p])
+                if self.holder[p] >= 0 and not hinted[p]:
+                    contained = max(contained, best[p])
+        for p in range(many - 1, 0, -1):
+            if self.bad[p] or not sums[p][2]:
+                continue
+            up = self.parent[p]
+            if self.hint[p] != PLAIN:
+                best[p] = max(best[p], score(*sums[p]))
+            sums[up] = tuple(a + b for a, b in zip(sums[up], sums[p], strict=True))
+            best[up] = max(best[up], best[p])
+            holds[up] |= holds[p] or (self.holder[p] == p and self.hint[p] == PLAIN)
+        for p in range(1, many):
+            up = self.parent[p]
+            least = threshold
+            if self.hint[p] == STRONG and contained >= 0:
+                least = max(threshold, contained) if self.holder[up] >= 0 else math.inf
+            self.bad[p] |= self.bad[up] or (self.hint[p] != PLAIN and not holds[p] and best[p] < least)
 
-def text_blocks(page: str, paths: Paths) -> list[tuple[int, str]]:
-    """Blocks of visible text with their path, in page order."""
-    blocks: list[tuple[int, str]] = []
+
+def text_blocks(page: str, paths: Paths) -> list[tuple[int, str, bool]]:
+    """Blocks of visible text with their path, in page order; true if only inline tags part it from the last."""
+    blocks: list[tuple[int, str, bool]] = []
     stack: list[tuple[str, int]] = []
     piece: list[str] = []
     path = at = 0
+    joined = False
 
-    def flush() -> None:
-        if piece:
-            text = "".join(piece)
-            text = " ".join((html.unescape(text) if "&" in text else text).split())
-            if text:
-                blocks.append((path, text))
-            piece.clear()
+    def flush(inline: bool = False) -> None:
+        nonlocal joined
+        raw = "".join(piece)
+        raw = html.unescape(raw) if "&" in raw else raw
+        text = " ".join(raw.split())
+        if text:
+            blocks.append((path, text, joined and not raw[0].isspace()))
+            joined = True
+        joined = joined and inline and not raw[-1:].isspace()
+        piece.clear()
 
     while match := TOKEN.search(page, at):
         if match.start() > at:
@@ -151,14 +206,15 @@ def text_blocks(page: str, paths: Paths) -> list[tuple[int, str]]:
         if end:
             depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == tag), None)
             if depth is not None:
-                flush()
+                flush(not block)
                 del stack[depth:]
                 path = stack[-1][1] if stack else 0
             continue
-        furniture = is_furniture(tag, match[3])
-        if not block and not furniture:
+        attributes = attributes_of(match[3]) if match[3] else {}
+        kind = furniture(tag, attributes)
+        if not block and kind == PLAIN:
             continue
-        flush()
+        flush(not block)
         if tag in CLOSES or (block and tag not in ("html", "body")):
             closing = CLOSES.get(tag, {"p"})
             for depth in range(len(stack) - 1, -1, -1):
@@ -169,10 +225,10 @@ def text_blocks(page: str, paths: Paths) -> list[tuple[int, str]]:
                 elif stack[depth][0] in HOLDS:
                     break
             path = stack[-1][1] if stack else 0
-        label = tag
-        if match[3]:
-            label += "".join(f" {v.lower()}" for n, v in ATTRIBUTE.findall(match[3]) if n.lower() == "class")
-        path = paths.below(path, tag, label, furniture)
+        label = f"{tag} {attributes['class'].lower()}" if "class" in attributes else tag
+        if kind in (WEAK, STRONG):
+            label += f"#{attributes.get('id', '').lower()}"
+        path = paths.below(path, tag, label, kind)
         stack.append((tag, path))
     piece.append(page[at:])
     flush()
@@ -197,22 +253,31 @@ def scores(order: list[int], paths: Paths) -> list[float]:
     ]
 
 
+def threshold_of(score: list[float]) -> float:
+    mean = sum(score) / len(score)
+    return SHARE * math.sqrt(sum((s - mean) ** 2 for s in score) / len(score))
+
+
 def main_text(page: str) -> str:
     """Blocks of the content, joined by one space."""
     if not page:
         return ""
     paths = Paths()
     blocks = text_blocks(page, paths)
-    for path, text in blocks:
+    for path, text, _ in blocks:
         paths.length[path] += len(text)
         paths.marks[path] += len(PUNCTUATION.findall(text))
         paths.blocks[path] += 1
-    order = list(dict.fromkeys(path for path, _ in blocks if not paths.bad[path]))
+    order = list(dict.fromkeys(path for path, _, _ in blocks if not paths.bad[path]))
     if not order:
         return ""
     score = scores(order, paths)
-    mean = sum(score) / len(score)
-    threshold = SHARE * math.sqrt(sum((s - mean) ** 2 for s in score) / len(score))
+    if any(paths.hint):
+        paths.decide(threshold_of(score), sum(paths.length[p] for p in order))
+        # If hints alone would empty the page, none counts.
+        order = [p for p in order if not paths.bad[p]] or order
+        score = scores(order, paths)
+    threshold = threshold_of(score)
     content = [p for p, s in zip(order, score, strict=True) if s >= threshold]
     best = max(zip(score, order, strict=True), key=lambda x: x[0])[1]
     holder = paths.holder[best] if paths.holder[best] >= 0 else max(paths.parent[best], 0)
@@ -230,7 +295,13 @@ def main_text(page: str) -> str:
     # Content paths outside the holder count if they have a container of their own, such as a second article.
     chosen = {p for p in content if paths.holder[p] >= 0 or paths.holder[best] < 0}
     chosen |= {p for p in order if is_inside(p)}
-    return " ".join(text for path, text in blocks if path in chosen)
+    parts: list[str] = []
+    last = False
+    for path, text, joined in blocks:
+        if path in chosen:
+            parts += (text,) if (joined and last) or not parts else (" ", text)
+        last = path in chosen
+    return "".join(parts)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
