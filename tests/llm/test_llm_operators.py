@@ -496,6 +496,17 @@ def test_url_filter(spark, monkeypatch, rows_in_block):
     assert url_filter.filter_urls(pages, table.limit(0)).filter("verdict = 'allow' and rule is null").count() == len(urls)
 
 
+def test_url_filter_long_path(spark, monkeypatch):
+    """A long url at the start of a block is not cut at each of its characters."""
+    monkeypatch.setattr(url_filter, "BLOCK_ROWS", 1)
+    long = "/x" * 100_000
+    pages = spark.createDataFrame([(1, f"http://a.b{long}"), (2, "http://a.b/y")], "page_id bigint, url string")
+    rules = [("block", "a.b", "/x/x"), ("allow", "b", ""), ("block", "a.b", "/x/y")]
+    found = url_filter.filter_urls(pages, spark.createDataFrame(rules, "action string, host string, path string")).collect()
+    got = sorted((r["page_id"], r["path"], r["rule"], r["verdict"]) for r in found)
+    assert got == [(1, long, "a.b/x/x", "block"), (2, "/y", "b", "allow")]
+
+
 # --- 10: language model
 
 

@@ -49,7 +49,8 @@ def open_intervals(points: DataFrame, prefixes: DataFrame) -> DataFrame:
 
     Both frames have one string column ``key`` of distinct values. The sorted union is cut into
     blocks of bounded size; the stack open at a block's first key is looked up by that key's own
-    prefixes, so blocks are swept independently. A stack is as deep as its key is long at most.
+    prefixes of the length of any of ``prefixes``, so blocks are swept independently. A stack is as
+    deep as its key is long at most.
     """
     events = points.select("key", F.lit(False).alias("is_rule")).unionByName(
         prefixes.select("key", F.lit(True).alias("is_rule"))
@@ -67,12 +68,12 @@ def open_intervals(points: DataFrame, prefixes: DataFrame) -> DataFrame:
             F.sort_array(F.collect_list(F.struct("key", "_rank"))).alias("events"),
         )
     )
-    cuts = F.transform(
-        F.sequence(F.lit(1), F.length("first_key")), lambda n: F.substring(F.col("first_key"), 1, n)
-    )
+    # Only lengths that a rule has: a long first key is not cut at each of its characters.
+    lengths = prefixes.select(F.length("key").alias("_length")).filter("_length > 0").distinct()
     before = (
-        blocks.filter(F.length("first_key") > 0)
-        .select("block", F.explode(cuts).alias("key"))
+        blocks.select("block", "first_key")
+        .join(F.broadcast(lengths), F.length("first_key") >= F.col("_length"))
+        .select("block", F.expr("substring(first_key, 1, _length)").alias("key"))
         .join(prefixes.select("key"), "key")
         .groupBy("block")
         .agg(F.sort_array(F.collect_list("key")).alias("open"))
