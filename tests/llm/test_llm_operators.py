@@ -154,6 +154,19 @@ def test_warc_framing(monkeypatch):
         list(warc.read_records(Slow(archive(one)[:-12], 99)))
 
 
+def test_warc_long_url(spark):
+    url = "http://a/" + "é/" * (1 << 20)
+    plain = [warc.record_bytes(f"urn:page:{i}", u, "response", None, b"abc") for i, u in ((1, url), (2, "u"))]
+    for step in (1000, 1 << 20):
+        found = list(warc.read_records(Slow(archive(*plain), step)))
+        assert [(r["target_uri"], r["payload"]) for r in found] == [(url, b"abc"), ("u", b"abc")]
+    with pytest.raises(ValueError, match="no end of headers"):
+        list(warc.read_records(Slow(archive(plain[0][: 1 << 21]), 1 << 20)))
+    pages = spark.createDataFrame([(1, url, "x"), (2, "u", "y")], "page_id bigint, url string, html string")
+    manifest = warc.write_archives(warc.page_records(pages), warc.new_folder(spark))
+    assert {r["target_uri"] for r in warc.read_archives(manifest, with_payload=False).collect()} == {url, "u"}
+
+
 # --- 3: quality classifier
 
 

@@ -7,6 +7,7 @@ so a lost executor or a repeated task leaves no wrong record.
 
 Defined results: a null payload is empty; a record without id has the id ``urn:page:null``; of
 several rows with the largest id of a payload all are responses; an empty table gives no archive.
+A url of any length is kept whole; headers are held in memory until their end, or the member's.
 """
 
 from __future__ import annotations
@@ -164,12 +165,15 @@ class Members:
                 return True
         return False
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        while (at := self.ready.find(mark)) < 0:
-            if len(self.ready) > most or not self._more():
+    def until(self, mark: bytes) -> bytes:
+        seen, start = bytearray(self.ready), 0
+        while (at := seen.find(mark, start)) < 0:
+            start, self.ready = max(0, len(seen) - len(mark) + 1), b""
+            if not self._more():
                 raise ValueError("no end of headers")
-        found, self.ready = self.ready[:at], self.ready[at + len(mark):]
-        return found
+            seen += self.ready
+        self.ready = bytes(seen[at + len(mark):])
+        return bytes(seen[:at])
 
     def take(self, size: int) -> Iterator[bytes]:
         while size:
@@ -252,7 +256,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True, batch_bytes: i
                 with files.open_input_stream(at, compression=None) as stream:
                     for record in read_records(stream, with_payload):
                         rows.append({**record, "path": path})
-                        size += len(record["payload"] or b"") + 500
+                        size += len(record["payload"] or b"") + len(record["target_uri"] or "") + 500
                         if size >= batch_bytes:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, size = [], 0
