@@ -1,6 +1,7 @@
 import json
 import random
 
+from trendspark import config
 from trendspark.config import Settings
 from trendspark.operators import language, search
 from trendspark.plans import trend_run
@@ -45,3 +46,27 @@ def test_files_to_trends(spark, tmp_path):
     asked = spark.createDataFrame([(1, "guard dunk rim"), (2, "club fee")], "query_id bigint, text string")
     hits = search.search_text(spark, f"{out}/vectors", asked, 1, metadata=["title_en"], dim=Settings().embedding_dim)
     assert {(h.query_id, h.category) for h in hits.collect()} == {(q, c) for q in (1, 2) for c in WORDS}
+
+
+def test_chunk_settings_and_summary_limit_reach_the_run(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(config.SUMMARY_INPUT_LIMITS, "pegasus", 7)
+    posts = [dict(p, title="le but de la main", selftext="a b c d e f g h") for p in landed_posts()][:1] + list(landed_posts())[1:]
+    (tmp_path / "posts.json").write_text("\n".join(json.dumps(p) for p in posts))
+    combined = landing.combine_sources(landing.read_posts(spark, str(tmp_path / "posts.json")))
+    samples = [(" ".join(w for c in WORDS.values() for t in c for w in t), "en"), ("le but de la main a b c d e f g h", "fr")]
+    profile = language.train_language_profile(spark.createDataFrame(samples, "text string, lang string"))
+    models = trend_run.Models(
+        translate=lambda lang: lambda texts: [f"[{t}]" for t in texts], summarize=lambda: lambda text: str(len(text.split()))
+    )
+    for parity, want in ((False, "[a b c] [d e f] [g h]"), (True, "[a b c] [c d e] [e f g] [g h]")):
+        settings = Settings(chunk_tokens=3, chunk_overlap=1, parity=parity)
+        prepared = trend_run.prepare_posts(combined, profile, models=models, settings=settings)
+        assert [r.selftext_en for r in prepared.filter("selftext = 'a b c d e f g h'").collect()] == [want]
+    found = trend_run.run(
+        combined, profile, str(tmp_path / "out"), models=trend_run.Models(summarize=models.summarize),
+        settings=Settings(summary_model="google/pegasus-xsum"),
+    )
+    assert {r.summary for r in found.trends.collect()} == {"7"}
+    assert trend_run.summary_limit(models) == 1024
+    assert trend_run.summary_limit(models, Settings(summary_model="x", summary_input_tokens=9000)) == 4096
+    assert trend_run.summary_limit(settings=Settings(summary_model="pegasus", summary_input_tokens=90)) == 90

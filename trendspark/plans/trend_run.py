@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.config import Settings
+from trendspark.config import Settings, safe_input_tokens
 from trendspark.functions.text import compose_text
 from trendspark.functions.wordlists import stopwords
 from trendspark.operators import topics
@@ -58,7 +58,14 @@ def prepare_posts(
     whole = combined.withColumns(absent) if absent else combined
     unique = dedup_first(valid_ids(whole)).filter(F.col("category").isin(list(settings.categories)))
     english = normalize_language(
-        unique, profile, lexicon, models.translate, chars=settings.language_chars, parity=settings.parity
+        unique,
+        profile,
+        lexicon,
+        models.translate,
+        chars=settings.language_chars,
+        parity=settings.parity,
+        size=settings.chunk_tokens,
+        overlap=settings.chunk_overlap,
     )
     return english.withColumn("text_for_embedding", compose_text())
 
@@ -69,6 +76,14 @@ def embed_posts(posts: DataFrame, models: Models = Models(), settings: Settings
     return embed_text(posts, train_idf(posts), dim=settings.embedding_dim)
 
 
+def summary_limit(models: Models = Models(), settings: Settings = Settings()) -> int:
+    """Tokens of a summary's input: the setting, within the limit of a named summary model."""
+    most = settings.summary_input_tokens
+    if models.summarize is None or not settings.summary_model:
+        return most
+    return min(most, safe_input_tokens(settings.summary_model, most))
+
+
 def find_trends(
     embedded: DataFrame,
     method: str = "topic",
@@ -99,7 +114,7 @@ def find_trends(
     known = posts.select("category", "topic").distinct()
     named = topics.enrich_topics(known, keywords, topics.topic_titles(keywords))
     top = top_posts(posts, settings.top_k_titles)
-    inputs = summary_input(top, settings.summary_input_tokens)
+    inputs = summary_input(top, summary_limit(models, settings))
     if models.summarize is not None:
         summaries = summarize_with_model(inputs, models.summarize)
     else:
