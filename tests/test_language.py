@@ -93,3 +93,13 @@ def test_any_number_of_languages(spark, monkeypatch):
 def test_profile_counts_whole_texts(spark):
     samples = spark.createDataFrame([("a" * 300 + "xyz", "en")], "text string, lang string")
     assert language.train_language_profile(samples).agg(F.sum("n")).first()[0] == 301
+
+
+def test_trigrams_of_a_very_long_text(spark):
+    """One text of a million characters, most of them of several bytes, is trained on whole."""
+    text = "äöü😀 中文 " * 125_000
+    profile = language.train_language_profile(spark.createDataFrame([(text, "xx"), ("ab", "yy")], "text string, lang string"))
+    totals = {r["lang"]: r["n"] for r in profile.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    assert totals == {"xx": 125_000 * 8 - 3, "yy": 1}
+    grams = spark.createDataFrame([("ä😀b",), ("a",), ("",), (None,)], "t string").select(language.trigrams(F.col("t"), None).alias("g"))
+    assert [r["g"] for r in grams.collect()] == [["ä😀b"], ["a"], [""], None]

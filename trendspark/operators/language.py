@@ -24,11 +24,13 @@ SLICE_ROWS = 256
 def trigrams(text: Column, chars: int | None = 200) -> Column:
     """Trigrams of the first ``chars`` characters of a cleaned text, or of all."""
 
-    def cut(head: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(head) - 2, F.lit(1)))
-        return F.transform(starts, lambda i: head.substr(i, F.lit(3)))
+    def cut(letters: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(letters) - 3)
+        grams = F.transform(starts, lambda i: F.concat(*(F.get(letters, i + k) for k in range(3))))
+        return F.when(F.size(letters) < 3, F.array(F.array_join(letters, ""))).otherwise(grams)
 
-    return bound(F.lower(text if chars is None else F.substring(text, 1, chars)), cut)
+    # Split once: a position in a string is found by walking to it, one in an array is not.
+    return bound(F.split(F.lower(text if chars is None else F.substring(text, 1, chars)), ""), cut)
 
 
 def trigram_bucket(gram: Column) -> Column:
