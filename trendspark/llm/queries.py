@@ -102,6 +102,25 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
 
 
+def planted_repeats(doc_id: object, words: list[bytes]) -> list[bytes]:
+    """The words of a tenth of the ids, the tail replaced by repeats of its first words."""
+    import zlib
+
+    n, h = len(words), zlib.crc32(str("" if doc_id is None else doc_id).encode())
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trendspark.llm.periodic_runs import find_runs, with_digest
+
+    return with_digest(find_runs(table(spark, sf_dir, "documents"), change=planted_repeats))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -113,4 +132,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filters": op9_url_filters,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_periodic_runs": op11_periodic_runs,
 }
