@@ -121,6 +121,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digest(find_runs(table(spark, sf_dir, "documents"), change=planted_repeats))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trendspark.llm.mixing import Mix
+
+    return Mix(table(spark, sf_dir, "documents")).taken().withColumnRenamed("key", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -133,4 +139,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filters": op9_url_filters,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_mixing": op12_mixing,
 }
