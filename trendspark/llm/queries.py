@@ -127,6 +127,26 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents")).taken().withColumnRenamed("key", "doc_id")
 
 
+def dropped_letters(doc_id: object) -> Callable[[str], str]:
+    """A letter goes from one in 31 of a document's words."""
+    import zlib
+
+    start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+
+    def change(word: str) -> str:
+        h = zlib.crc32(word.encode(), start)
+        at = h % len(word)
+        return word if h % 31 else word[:at] + word[at + 1:]
+
+    return change
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trendspark.llm.spelling_variants import group_variants, word_counts
+
+    return group_variants(word_counts(table(spark, sf_dir, "documents"), change=dropped_letters))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -140,4 +160,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_mixing": op12_mixing,
+    "op13_spelling_variants": op13_spelling_variants,
 }
