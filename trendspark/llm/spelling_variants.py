@@ -32,11 +32,11 @@ from trendspark.session import materialize
 
 LETTERS, OCCURRENCES, RATIO = 7, 2, 10
 #: Words of a block, and words that ask it at once; fewer where words are very long.
-CELL, ASKING = 1 << 13, 1 << 16
+CELL, ASKING = 1 << 14, 1 << 16
 LONG = 1 << 7
 #: Sampled words per length for the tree that parts it, and its deepest level.
 SAMPLE, DEEPEST = 1 << 16, 12
-LEAF = 32
+LEAF = 64
 #: Distances that are held at once.
 MATRIX = 1 << 20
 #: Distinct words that a task counts before it hands them on.
@@ -134,24 +134,32 @@ class Cells:
 
     def reach(self, vectors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a row and a cell whose box is at most ``radius`` off; its own cell for 0."""
-        rows, cells = [], []
-        whole = np.full(vectors.shape[1], -1), np.full(vectors.shape[1], np.iinfo(np.int32).max)
-        waiting = [(1, np.arange(len(vectors)), *whole)]
+        rows, cells, by_letter = [], [], np.ascontiguousarray(vectors.T).astype(np.int32)
+        most = np.iinfo(np.int32).max
+        limits = np.full(len(by_letter), -1, np.int32), np.full(len(by_letter), most, np.int32)
+        everyone = np.arange(len(vectors))
+        waiting = [(1, everyone, np.zeros(len(vectors), np.int32), *limits)]
+
+        def beyond(x: np.ndarray, low: int, high: int) -> np.ndarray:
+            return np.maximum(low - x, 0) + np.maximum(x - high, 0)
+
         while waiting:
-            node, own, low, high = waiting.pop()
-            part = vectors[own]
-            off = (np.maximum(low - part, 0) + np.maximum(part - high, 0)).sum(axis=1)
-            own = own[off <= radius]
-            if not len(own):
-                continue
+            node, own, off, low, high = waiting.pop()
             if node not in self.splits:
                 rows.append(own)
                 cells.append(np.full(len(own), node))
                 continue
             d, bound = self.splits[node]
+            x = by_letter[d, own]
+            # A box differs from the one around it in one letter only.
+            rest = off - beyond(x, low[d], high[d])
             below, above = high.copy(), low.copy()
             below[d], above[d] = min(high[d], bound), max(low[d], bound + 1)
-            waiting += [(2 * node, own, low, below), (2 * node + 1, own, above, high)]
+            for child, least, greatest in ((2 * node, low, below), (2 * node + 1, above, high)):
+                now = rest + beyond(x, least[d], greatest[d])
+                near = np.flatnonzero(now <= radius)
+                if len(near):
+                    waiting.append((child, own[near], now[near], least, greatest))
         empty = [np.zeros(0, np.int64)]
         return np.concatenate(rows or empty), np.concatenate(cells or empty)
 
@@ -215,42 +223,50 @@ def routed(words: DataFrame, trees: dict[int, Cells]) -> DataFrame:
 
 
 class Search:
-    """Words of one block in a k-d tree, asked by words as long or a letter shorter."""
+    """Words of one block in a k-d tree, asked by words as long or a letter shorter.
+
+    Letter counts lie by letter, so that boxes and distances are worked out for many words at a time.
+    """
 
     def __init__(self, block: np.ndarray, asking: np.ndarray) -> None:
         self.block, self.asking = block, asking
-        self.points, self.queries = vectors_of(block), vectors_of(asking)
+        points, queries = vectors_of(block), vectors_of(asking)
+        used = points.any(axis=0) | queries.any(axis=0)
+        # Counts up to 63 and their distances fit eight bits.
+        kind = np.int8 if block.shape[1] < 64 else points.dtype
+        self.points, self.queries = (np.ascontiguousarray(v[:, used].T.astype(kind)) for v in (points, queries))
         self.radius = 2 if block.shape[1] == asking.shape[1] else 1
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Arrays of (asking, block) rows one edit apart."""
-        waiting = [(np.arange(len(self.points)), np.arange(len(self.queries)))]
+        total = np.int16 if self.points.dtype == np.int8 else np.int64
+        waiting = [(np.arange(self.points.shape[1]), self.points, np.arange(self.queries.shape[1]), self.queries)]
         while waiting:
-            own, asking = waiting.pop()
-            points, queries = self.points[own], self.queries[asking]
-            low, high = points.min(axis=0), points.max(axis=0)
-            off = (np.maximum(low - queries, 0) + np.maximum(queries - high, 0)).sum(axis=1)
-            asking = asking[off <= self.radius]
-            if not len(asking):
+            own, points, asking, queries = waiting.pop()
+            low, high = points.min(axis=1), points.max(axis=1)
+            off = np.abs(queries - np.clip(queries, low[:, None], high[:, None])).sum(axis=0, dtype=total)
+            near = np.flatnonzero(off <= self.radius)
+            if not len(near):
                 continue
-            split = best_split(points) if len(own) > LEAF else None
+            asking, queries = asking[near], queries[:, near]
+            split = best_split(points.T) if len(own) > LEAF else None
             if split:
-                right = points[:, split[0]] > split[1]
-                waiting += [(own[~right], asking), (own[right], asking)]
+                right = points[split[0]] > split[1]
+                for side in (~right, right):
+                    waiting.append((own[side], points[:, side], asking, queries))
                 continue
-            # Dimensions in which all points are equal add the same to all.
-            varies = np.flatnonzero(low < high).tolist()
-            same = np.flatnonzero(low == high)
+            # Letters that all points have equally often add the same to all distances.
+            varies, same = np.flatnonzero(low < high).tolist(), np.flatnonzero(low == high)
+            base = np.abs(queries[same] - low[same, None]).sum(axis=0, dtype=queries.dtype)
             rows = max(1, MATRIX // len(own))
             for begin in range(0, len(asking), rows):
-                part = asking[begin:begin + rows]
-                asked = self.queries[part]
-                far = np.abs(asked[:, same] - low[same]).sum(axis=1).astype(asked.dtype)
-                far = np.repeat(far[:, None], len(own), axis=1)
+                part = slice(begin, begin + rows)
+                far = np.repeat(base[part, None], len(own), axis=1)
                 for d in varies:
-                    far += np.abs(asked[:, d][:, None] - points[:, d][None, :])
+                    step = queries[d, part, None] - points[d]
+                    far += np.abs(step, out=step)
                 one, other = np.nonzero(far == self.radius)
-                yield from self._verified(part[one], own[other])
+                yield from self._verified(asking[part][one], own[other])
 
     def _verified(self, one: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         length = self.asking.shape[1]
