@@ -43,6 +43,20 @@ def test_lexicon_translation(spark):
     assert rows(twice, "text_en") == [("the a b c b c d",)]
 
 
+def test_phrases_leftmost_longest(spark):
+    entries = [
+        ("fr", "pomme de", "apple-of"), ("fr", "Pomme  de\tterre", "potato"), ("fr", "terre cuite", "terracotta"),
+        ("fr", "de", "of"), ("fr", "a b", "ab"), ("fr", "b c", "bc"), ("de", "pomme de", "never"), ("fr", " ", "blank"),
+    ]
+    lexicon = spark.createDataFrame(entries, "lang string, src string, dst string")
+    texts = ["la POMME de terre cuite", "pomme de pin de", "a b c a b", "b c b", "pomme", "", None, "x " * 3_000 + "a b"]
+    rows_in = [(i, "fr", t) for i, t in enumerate(texts)] + [(90, "en", "a b"), (91, "fr", "terre")]
+    df = spark.createDataFrame(rows_in, "ingest_seq bigint, detected_language string, text string")
+    found = dict(rows(translation.translate_lexicon(df, lexicon, ("text",)), "ingest_seq", "text_en"))
+    assert [found[i] for i in range(7)] == ["la potato cuite", "apple-of pin of", "ab c ab", "bc b", "pomme", "", ""]
+    assert found[7] == "x " * 3_000 + "ab" and found[90] == "a b" and found[91] == "terre"
+
+
 def test_model_translation_falls_back(spark):
     def load(lang):
         def run(texts):

@@ -166,3 +166,24 @@ def test_search_by_text(spark, tmp_path):
     assert best == {7: "trade draft", 8: "goal keeper"}
     only = search.search_text(spark, str(tmp_path / "v"), asked, 5, "nba").collect()
     assert {r.id for r in only} == {1, 2}
+
+
+def test_code_table_recall(spark, tmp_path):
+    """Nearly all true neighbours by probing an eighth of the lists; all of them with every list."""
+    from trendspark.operators import codes
+
+    rng = np.random.default_rng(8)
+    vectors = np.vstack([rng.normal(c, 0.5, (60, 32)) for c in rng.normal(0, 1, (40, 32))])
+    base = frame(spark, range(len(vectors)), vectors, "007").withColumn("title", F.concat(F.lit("t"), "id"))
+    base = base.unionByName(frame(spark, [9_000], [vectors[0]], "solo").withColumn("title", F.lit("s")))
+    codes.build_code_table(base, str(tmp_path / "c"), lists=48)
+    queries = base.filter("id % 25 = 0").select("category", F.col("id").alias("query_id"), "vector")
+    exact = {(r.category, r.query_id, r.id) for r in search.vector_search(queries, base, 5).collect()}
+    found = codes.search_codes(spark, str(tmp_path / "c"), queries, 5, probes=6, metadata=["title"]).collect()
+    got = {(r.category, r.query_id, r.id) for r in found}
+    assert len(got & exact) >= 0.9 * len(exact) and all(r.title in (f"t{r.id}", "s") for r in found)
+    assert all(r.distance == pytest.approx(((vectors[r.query_id] - vectors[r.id]) ** 2).sum()) for r in found if r.id < 9_000)
+    every = codes.search_codes(spark, str(tmp_path / "c"), queries, 5, probes=48, rerank=1_000)
+    assert {(r.category, r.query_id, r.id) for r in every.collect()} == exact
+    with pytest.raises(ValueError):
+        codes.build_code_table(base.filter("false"), str(tmp_path / "none"))

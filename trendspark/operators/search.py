@@ -69,11 +69,16 @@ def build_vector_table(points: DataFrame, path: str, cell_rows: int = knn.BLOCK_
     table.join(near, ["category", "cell"]).write.mode(mode).parquet(f"{path}/cells")
 
 
-def read_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors and cells of a stored table; categories stay text, whatever they look like."""
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """Vectors of a stored table; categories stay text, whatever they look like."""
     vectors = spark.read.parquet(f"{path}/vectors")
     fields = [StructField("category", StringType()) if f.name == "category" else f for f in vectors.schema]
-    return spark.read.schema(StructType(fields)).parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/cells")
+    return spark.read.schema(StructType(fields)).parquet(f"{path}/vectors")
+
+
+def read_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors and cells of a stored table."""
+    return read_stored(spark, path), spark.read.parquet(f"{path}/cells")
 
 
 def visited_cells(queries: DataFrame, cells: DataFrame, k: int) -> list[tuple[str, list[int]]]:

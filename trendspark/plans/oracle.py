@@ -221,6 +221,7 @@ ORACLE: dict[str, str] = {
         FROM weights) WHERE rank <= 5 AND topic <> -1"""),
     "vector_search": SEARCH.format(topic=" topic,"),
     "search_vector_table": SEARCH.format(topic=""),
+    "search_code_table": """SELECT 'all' AS category, count(*) * least(5, count(*)) AS n_hits, true AS recalled FROM embeddings""",
     "knn_graph": GRAPH,
     "knn_graph_cells": GRAPH,
     "clean_text": f"""SELECT 'document' AS kind, doc_id AS row_id, 0 AS turn, {CLEAN} AS cleaned FROM documents
@@ -343,6 +344,17 @@ posts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY
       FROM (SELECT lang AS language FROM documents UNION ALL SELECT event_type FROM events)
       WHERE language NOT IN ('en', {quoted(SUPPORTED_LANGUAGES)}) GROUP BY language""",
     "translate_lexicon": TRANSLATED.format(clean=CLEAN, tokens="toks"),
+    # Accepted are every other start in a run of neighbouring starts.
+    "translate_phrases": """WITH d AS (SELECT doc_id, lang, regexp_split_to_array({clean}, ' ') AS toks, {clean} AS c FROM documents),
+      t AS (SELECT doc_id, unnest(toks) AS w, unnest(range(1, len(toks) + 1)) AS p FROM d WHERE lang <> 'en' AND c <> ''),
+      n AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY p) AS after FROM t),
+      m AS (SELECT *, after IS NOT NULL AND md5(lower(w || ' ' || after)) LIKE '%0' AS hit FROM n),
+      g AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, hit ORDER BY p) AS island FROM m),
+      a AS (SELECT *, hit AND (row_number() OVER (PARTITION BY doc_id, hit, island ORDER BY p)) % 2 = 1 AS taken FROM g),
+      k AS (SELECT *, coalesce(lag(taken) OVER (PARTITION BY doc_id ORDER BY p), false) AS covered FROM a),
+      o AS (SELECT doc_id, string_agg(CASE WHEN taken THEN lower(w) || '_' || lower(after) ELSE w END, ' ' ORDER BY p) AS text_en
+        FROM k WHERE NOT covered GROUP BY doc_id)
+      SELECT doc_id, coalesce(o.text_en, c) AS text_en FROM d LEFT JOIN o USING (doc_id)""".format(clean=CLEAN),
     "translate_lexicon_parity": TRANSLATED.format(clean=CLEAN, tokens=CHUNKED),
     "embed_text": """WITH words AS (
         SELECT doc_id, CAST('0x' || substr(md5(w), 1, 4) AS INTEGER) AS bucket,

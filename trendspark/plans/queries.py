@@ -14,6 +14,7 @@ from trendspark.functions.dates import event_time, parse_published, utc_date
 from trendspark.functions.wordlists import stopwords
 from trendspark.operators import (
     clustering,
+    codes,
     dashboard,
     dedup,
     density,
@@ -518,6 +519,20 @@ def translate_lexicon(spark, folder):
     return done.select("doc_id", "text_en")
 
 
+@query
+def translate_phrases(spark, folder):
+    """Pairs of neighbouring words of the foreign documents, a sixteenth of them, as one word; other words stay."""
+    documents = table(spark, folder, "documents").select("doc_id", F.col("lang").alias("detected_language"), "text")
+    tokens = tx.blank_tokens(tx.clean_text(F.col("text")))
+    rows = documents.filter("detected_language != 'en'").select(F.col("detected_language").alias("lang"), tokens.alias("t"))
+    starts = F.sequence(F.lit(1), F.size("t") - 1)
+    pairs = F.transform(starts, lambda i: F.lower(F.array_join(F.slice("t", i, F.lit(2)), " ")))
+    pairs = rows.filter(F.size("t") > 1).select("lang", F.explode(pairs).alias("src")).distinct()
+    phrases = pairs.filter(F.md5("src").endswith("0")).withColumn("dst", F.replace("src", F.lit(" "), F.lit("_")))
+    done = translation.translate_lexicon(documents, phrases, ("text",), seq="doc_id")
+    return done.select("doc_id", "text_en")
+
+
 @query
 def translate_lexicon_parity(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", F.col("lang").alias("detected_language"), "text")
@@ -568,6 +583,20 @@ def search_vector_table(spark, folder):
     return hits.select("query_id", "id", "rank", rounded("distance").alias("distance"))
 
 
+@query
+def search_code_table(spark, folder):
+    """Approximate search in lists of codes: how many hits, and whether nine tenths are true neighbours."""
+    path = f"{shared_folder(spark)}/codes-{uuid.uuid4().hex}"
+    base, asked = vectors(spark, folder), query_vectors(spark, folder)
+    codes.build_code_table(base, path)
+    found = codes.search_codes(spark, path, asked, 5, probes=32)
+    true = search.vector_search(asked, base, 5).select("category", "query_id", "id", F.lit(1).alias("true"))
+    met = found.join(true, ["category", "query_id", "id"], "left")
+    return met.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n_hits"), (F.sum(F.coalesce("true", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("recalled")
+    )
+
+
 @query
 def search_text(spark, folder):
     """Benchmark texts asked of the documents, encoded in the documents' space."""
