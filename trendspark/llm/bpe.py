@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 Each pre-token is a linked list of byte spans. A bucket per merge rank holds the positions whose
-pair has that rank; a three-level bitmap over the ranks gives the next rank by find-first-set.
+pair has that rank; a two-level bitmap over the ranks gives the next rank by find-first-set.
 Entries whose pair has changed meanwhile are stale and skipped. A pre-token of n bytes takes
 O(n log n) steps, so very long ones do no harm.
 
@@ -16,7 +16,7 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain, islice
 
 import numpy as np
@@ -58,6 +58,7 @@ class Encoder:
         self.bit = [1 << i for i in range(max(256, len(self.low)))]
         self.words: dict[str, tuple[int, ...]] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Token ids of one pre-token."""
@@ -148,19 +149,25 @@ class Encoder:
             start = cut.start()
         yield text[start:]
 
+    def make_room(self) -> None:
+        if len(self.words) + len(self.cache) > CACHE:
+            self.words.clear()
+            self.cache.clear()
+
+    def encode_part(self, part: str) -> Iterator[list[int]]:
+        """Ids of a part match by match, in bounded lists."""
+        self.make_room()
+        matches = self.split.finditer(part)
+        while run := [m.group() for m in islice(matches, RUN)]:
+            yield list(chain.from_iterable(map(self.pre_token, run)))
+
     def encode(self, text: str) -> Iterator[list[int]]:
         """Ids of a text, in bounded lists."""
         for part in self.slices(text):
-            if len(self.words) + len(self.cache) > CACHE:
-                self.words.clear()
-                self.cache.clear()
-            if len(part) > 2 * SLICE:
-                matches = self.split.finditer(part)
-                while run := [m.group() for m in islice(matches, RUN)]:
-                    yield list(chain.from_iterable(map(self.pre_token, run)))
-            elif WHITE_BOTH_SIDES.search(part):
-                yield list(chain.from_iterable(map(self.pre_token, self.split.findall(part))))
+            if len(part) > 2 * SLICE or WHITE_BOTH_SIDES.search(part):
+                yield from self.encode_part(part)
             else:
+                self.make_room()
                 # A match ends before a space that has no white space on one of its sides.
                 first, *rest = part.split(" ")
                 words, tokens, slow = self.words, self.cache, self.word
@@ -171,6 +178,37 @@ class Encoder:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
+    def spelled(self, text: str) -> Iterator[tuple[str, bytes, int]]:
+        """A text's ids in decimals, each after a space, the bytes they decode to, and their number, in
+        bounded parts. A word is encoded, written and decoded once and then looked up as a whole."""
+        for part in self.slices(text):
+            if len(self.known) > CACHE // 2:
+                self.known.clear()
+            if len(part) > 2 * SLICE or WHITE_BOTH_SIDES.search(part):
+                yield from map(self.spell, self.encode_part(part))
+                continue
+            first, *rest = part.split(" ")
+            found = [self.spell(self.word(first)), *map(self.known.__getitem__, rest)]
+            yield "".join([f[0] for f in found]), b"".join([f[1] for f in found]), sum([f[2] for f in found])
+
+    def spell(self, ids: Sequence[int]) -> tuple[str, bytes, int]:
+        return "".join([" " + self.digits[i] for i in ids]), self.decode(ids), len(ids)
+
+
+class Known(dict):
+    """What a word after a space is spelled as."""
+
+    def __init__(self, bpe: Encoder) -> None:
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, word: str) -> tuple[str, bytes, int]:
+        bpe = self.bpe
+        found = bpe.spell([*chain.from_iterable(map(bpe.pre_token, bpe.split.findall(" " + word)))])
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
 
 #: A space after something else than white space: no match goes across its left side.
 CUT = re.compile(r"(?<=\S) ")
@@ -241,16 +279,14 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = get()
-        digits = bpe.digits.__getitem__
         for batch in batches_by_size(batches, text, BATCH_BYTES):
             counts, ids_hash, text_hash = [], [], []
             for value in as_bytes(batch.column(text)):
                 count, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
-                for ids in bpe.encode(value.decode()):
-                    if ids:
-                        of_ids.update((" " if count else "").encode() + " ".join(map(digits, ids)).encode())
-                        of_bytes.update(bpe.decode(ids))
-                        count += len(ids)
+                for written, data, many in bpe.spelled(value.decode()):
+                    of_ids.update((written if count else written[1:]).encode())
+                    of_bytes.update(data)
+                    count += many
                 counts.append(count)
                 ids_hash.append(of_ids.hexdigest())
                 text_hash.append(of_bytes.hexdigest())
