@@ -3,7 +3,8 @@
 Each pre-token is a linked list of byte spans. A bucket per merge rank holds the positions whose
 pair has that rank; a two-level bitmap over the ranks gives the next rank by find-first-set.
 Entries whose pair has changed meanwhile are stale and skipped. A pre-token of n bytes takes
-O(n log n) steps, so very long ones do no harm.
+O(n log n) steps, so very long ones do no harm. A batch's new pre-tokens that are not long share one
+queue: a bucket then holds positions of many of them, and of each the first is merged at once.
 
 Defined results: a null text is the empty text, with no tokens; repeated rows are encoded alike;
 texts of any length are split in bounded slices; other columns stay as they are.
@@ -12,11 +13,12 @@ texts of any length are split in bounded slices; other columns stay as they are.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain, islice
 
 import numpy as np
@@ -31,7 +33,9 @@ from trendspark.llm.common import as_bytes, batches_by_size
 SLICE, RUN = 1 << 20, 1 << 17
 #: Words and pre-tokens kept per Python worker; the caches start anew when full.
 CACHE = 1 << 20
-BATCH_BYTES = 1 << 23
+#: Fewer new words than this are encoded one by one.
+FEW = 500
+BATCH_BYTES = 1 << 24
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -59,6 +63,19 @@ class Encoder:
         self.words: dict[str, tuple[int, ...]] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
         self.known = Known(self)
+        self._pairs()
+
+    def _pairs(self) -> None:
+        """All pairs of tokens that make a token, sorted."""
+        rank_of, found = self.ranks.get, []
+        for whole, rank in self.ranks.items():
+            for cut in range(1, len(whole)):
+                left, right = rank_of(whole[:cut]), rank_of(whole[cut:])
+                if left is not None and right is not None:
+                    found.append((left * (len(self.vocabulary) + 1) + right, rank))
+        table = np.array(sorted(found) or [(-1, -1)], np.int64)
+        self.pair_keys, self.pair_values = table[:, 0].copy(), table[:, 1].copy()
+        self.byte_ids = np.array([rank_of(bytes([b]), 0) for b in range(256)], np.int64)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Token ids of one pre-token."""
@@ -123,6 +140,104 @@ class Encoder:
             i = after[i]
         return tuple(ids)
 
+    def merge_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Token ids of different pre-tokens, by one queue over all of them."""
+        sizes = np.array([len(p) for p in pieces])
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        n, low, bit, top = len(data), self.low, self.bit, 0
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        end, begin = np.cumsum(sizes) - 1, np.cumsum(sizes) - sizes
+        # The place after the last one stands for the end of every piece; no pair goes there.
+        token = np.append(self.byte_ids[data], len(self.vocabulary))
+        after, before = np.arange(1, n + 1), np.arange(-1, n)
+        after[end], before[begin] = n, -1
+        pair = self.pair_ranks(token[:-1], token[after])
+        buckets: dict[int, list[np.ndarray]] = {}
+        alive = np.ones(n, bool)
+        fresh = np.flatnonzero(pair >= 0)
+        while True:
+            if len(fresh):
+                order = np.argsort(pair[fresh], kind="stable")
+                fresh = fresh[order]
+                cuts = np.flatnonzero(np.diff(pair[fresh])) + 1
+                for part in np.split(fresh, cuts) if len(cuts) else (fresh,):
+                    rank = int(pair[part[0]])
+                    if rank in buckets:
+                        buckets[rank].append(part)
+                    else:
+                        buckets[rank] = [part]
+                        word = rank >> 8
+                        low[word] |= bit[rank & 255]
+                        top |= bit[word]
+            if not top:
+                break
+            word = (top & -top).bit_length() - 1
+            first = low[word] & -low[word]
+            rank = word << 8 | first.bit_length() - 1
+            found = buckets.pop(rank)
+            at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            at = at[pair[at] == rank]  # without stale ones
+            at.sort()
+            leading = np.ones(len(at), bool)
+            leading[1:] = owner[at[1:]] != owner[at[:-1]]
+            rest = at[~leading]
+            if len(rest):
+                buckets[rank] = [rest]
+                at = at[leading]
+            else:
+                low[word] ^= first
+                if not low[word]:
+                    top ^= bit[word]
+            gone = after[at]
+            right = after[gone]
+            token[at], after[at], before[right] = rank, right, at
+            alive[gone], pair[gone] = False, -1
+            left = before[at]
+            left = left[left >= 0]
+            touched = np.concatenate([left, at])
+            pair[touched] = self.pair_ranks(token[touched], token[after[touched]])
+            fresh = touched[pair[touched] >= 0]
+        kept = np.flatnonzero(alive)
+        ids, many = token[kept].tolist(), np.bincount(owner[kept], minlength=len(pieces))
+        ends = np.cumsum(many).tolist()
+        return [tuple(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that two tokens make together, else -1."""
+        key = left * (len(self.vocabulary) + 1) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_values[at], -1)
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Encode what is new of the distinct words that follow a space, all at once."""
+        new = [w for w in words if w not in self.known and len(w) <= 64]
+        if len(new) < FEW:
+            return
+        tokens = [self.split.findall(" " + w) for w in new]
+        unseen = list({t for own in tokens for t in own if t not in self.cache and len(t) <= 64})
+        pieces = [t.encode() for t in unseen]
+        whole = [self.ranks.get(p) for p in pieces]
+        todo = [i for i, rank in enumerate(whole) if rank is None]
+        self.cache.update((t, (rank,)) for t, rank in zip(unseen, whole, strict=True) if rank is not None)
+        if todo:
+            self.cache.update(zip([unseen[i] for i in todo], self.merge_many([pieces[i] for i in todo]), strict=True))
+        for word, own in zip(new, tokens, strict=True):
+            self.known[word] = self.spell([*chain.from_iterable(map(self.pre_token, own))])
+
+    def learn_texts(self, texts: Iterable[str]) -> None:
+        self.make_room()
+        if len(self.known) > CACHE // 2:
+            self.known.clear()
+        words: set[str] = set()
+        for text in texts:
+            words.update(text.split(" "))
+        # Nothing made here is part of a cycle.
+        gc.disable()
+        try:
+            self.learn(words)
+        finally:
+            gc.enable()
+
     def pre_token(self, token: str) -> tuple[int, ...]:
         ids = self.cache.get(token)
         if ids is None:
@@ -241,8 +356,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         bpe = get()
         for batch in batches_by_size(batches, text, BATCH_BYTES):
             flat, ends = array("i"), [0]
-            for value in as_bytes(batch.column(text)):
-                for part in bpe.encode(value.decode()):
+            texts = [value.decode() for value in as_bytes(batch.column(text))]
+            bpe.learn_texts(texts)
+            for value in texts:
+                for part in bpe.encode(value):
                     flat.extend(part)
                 ends.append(len(flat))
             values = pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32))
@@ -281,9 +398,11 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
         bpe = get()
         for batch in batches_by_size(batches, text, BATCH_BYTES):
             counts, ids_hash, text_hash = [], [], []
-            for value in as_bytes(batch.column(text)):
+            texts = [value.decode() for value in as_bytes(batch.column(text))]
+            bpe.learn_texts(texts)
+            for value in texts:
                 count, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
-                for written, data, many in bpe.spelled(value.decode()):
+                for written, data, many in bpe.spelled(value):
                     of_ids.update((written if count else written[1:]).encode())
                     of_bytes.update(data)
                     count += many
