@@ -5,11 +5,14 @@ punctuation are summed per path and divided by the path's blocks; both ratios ar
 order and multiplied. The paths over a threshold, a share of the scores' deviation, show where the
 content lies: the closest article or main element around the best path, else the best path's
 parent. Every path inside it is content, headings and short paragraphs too, unless one of its
-elements is page furniture by tag or role, or hidden. A form, or a listed word in a class or id, is
-only a hint: such an element is furniture if it holds no article or main, and neither one of its
-paths nor all of them together reach the threshold. Where an article or main has text of its own, a
-plain hint (a form, or a name of listed words only, as ``ad`` but not ``no-banner``) outside of it is
-furniture, and one inside has to reach the best path without hints.
+elements is page furniture by tag or role, or hidden. A form, a listed word in a class or id, and an
+article inside another one are hints. Plain hints are forms, nested articles, and names of listed words
+with or without words for boxes (``ad``, ``ad-slot``, ``comment-thread``, but not ``no-banner``). Where
+there is prose outside of all plain hints, such an element is furniture however long its own text is,
+unless it holds an article or main and its name is not one for reader comments. Without such prose, and
+for all other hints, an element is furniture if it holds no article or main, and neither one of its
+paths nor all of them together reach the threshold; where an article or main has text of its own, a
+plain hint outside of it is furniture, and one inside has to reach the best path without hints.
 
 Defined results: null and empty pages, and pages without content, give the empty text; broken
 markup ends where the page ends; nothing is cut off or dropped for its length. A page is one row's
@@ -53,6 +56,13 @@ CLASS_WORDS = {
     "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "signup", "share", "sharing",
     "social", "related", "recommended", "comment", "comments", "disqus", "pagination", "pager", "widget", "login",
 }
+TALK_WORDS = {
+    "comment", "comments", "disqus", "reply", "replies", "response", "responses", "respond", "discussion", "discussions",
+}
+BOX_WORDS = {
+    "area", "block", "body", "box", "card", "container", "content", "entry", "group", "holder", "inner", "item",
+    "items", "list", "outer", "panel", "section", "slot", "space", "thread", "threads", "unit", "wrap", "wrapper", "zone",
+}
 CLOSES = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
     "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -75,10 +85,12 @@ RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
 #: Weights of the smoothing window and the threshold's share of the deviation.
 WINDOW = (0.25, 0.5, 0.25)
 SHARE = 0.5
+#: Prose: characters and punctuation marks of paths outside of plain hints, and their least share of a hinted text.
+PROSE, PROSE_MARKS, PROSE_SHARE = 150, 3, 0.02
 
 
-#: What an element's tag and attributes say of it.
-PLAIN, WEAK, STRONG, FURNISHED = range(4)
+#: What an element's tag and attributes say of it; ``TALK`` is a plain hint at reader comments.
+PLAIN, WEAK, STRONG, TALK, FURNISHED = range(5)
 
 
 def attributes_of(source: str) -> dict[str, str]:
@@ -96,7 +108,7 @@ def furniture(tag: str, attributes: dict[str, str]) -> int:
         return FURNISHED
     if "hidden" in attributes or HIDDEN.search(attributes.get("style", "")):
         return FURNISHED
-    listed = {"comment", "comments"} if tag == "article" else CLASS_WORDS
+    listed = TALK_WORDS if tag == "article" else CLASS_WORDS | TALK_WORDS
     if tag in ("body", "html", "main"):
         return PLAIN
     if tag == "form" or "form" in roles:
@@ -105,7 +117,8 @@ def furniture(tag: str, attributes: dict[str, str]) -> int:
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
         words = WORD.findall(name)
         if not listed.isdisjoint(words):
-            found = max(found, STRONG if listed.issuperset(words) else WEAK)
+            plain = (listed | BOX_WORDS).issuperset(words)
+            found = max(found, WEAK if not plain else STRONG if TALK_WORDS.isdisjoint(words) else TALK)
     return found
 
 
@@ -115,9 +128,11 @@ class Paths:
     def __init__(self) -> None:
         self.ids: dict[tuple[int, str, int], int] = {}
         self.parent, self.bad, self.hint, self.holder = [-1], [False], [PLAIN], [-1]
-        self.length, self.marks, self.blocks = [0], [0], [0]
+        self.length, self.marks, self.blocks, self.within = [0], [0], [0], [False]
 
     def below(self, parent: int, tag: str, label: str, kind: int) -> int:
+        if tag == "article" and kind == PLAIN and self.within[parent]:
+            kind = TALK
         key = (parent, label, kind)
         if key not in self.ids:
             new = self.ids[key] = len(self.parent)
@@ -126,6 +141,7 @@ class Paths:
             banner = tag == "header" and self.holder[parent] < 0
             self.bad.append(kind == FURNISHED or banner or self.bad[parent])
             self.hint.append(kind)
+            self.within.append(self.within[parent] or tag == "article")
             self.holder.append(new if tag in CONTAINER else self.holder[parent])
             for counts in (self.length, self.marks, self.blocks):
                 counts.append(0)
@@ -140,7 +156,13 @@ class Paths:
         def score(n_chars: int, n_marks: int, n_blocks: int) -> float:
             return n_chars / n_blocks * (n_marks / n_blocks + 0.1) * math.sqrt(n_chars / total)
 
+        marked = [False] * many
+        self.prose = self.prose_marks = 0
         for p in range(many):  # parents come before what is below them
+            marked[p] = self.hint[p] in (STRONG, TALK) or (p > 0 and marked[self.parent[p]])
+            if self.blocks[p] and not self.bad[p] and not marked[p] and self.marks[p]:
+                self.prose += self.length[p]
+                self.prose_marks += self.marks[p]
             hinted[p] = self.hint[p] != PLAIN or (p > 0 and hinted[self.parent[p]])
             if self.blocks[p] and not self.bad[p]:
                 sums[p] = self.length[p], self.marks[p], self.blocks[p]
@@ -158,8 +180,11 @@ class Paths:
             holds[up] |= holds[p] or (self.holder[p] == p and self.hint[p] == PLAIN)
         for p in range(1, many):
             up = self.parent[p]
-            least = threshold
-            if self.hint[p] == STRONG and contained >= 0:
+            least, plain = threshold, self.hint[p] in (STRONG, TALK)
+            if plain and self.prose >= max(PROSE, PROSE_SHARE * sums[p][0]) and self.prose_marks >= PROSE_MARKS:
+                self.bad[p] |= self.bad[up] or self.hint[p] == TALK or not holds[p]
+                continue
+            if plain and contained >= 0:
                 least = max(threshold, contained) if self.holder[up] >= 0 else math.inf
             self.bad[p] |= self.bad[up] or (self.hint[p] != PLAIN and not holds[p] and best[p] < least)
 
@@ -226,7 +251,7 @@ def text_blocks(page: str, paths: Paths) -> list[tuple[int, str, bool]]:
                     break
             path = stack[-1][1] if stack else 0
         label = f"{tag} {attributes['class'].lower()}" if "class" in attributes else tag
-        if kind in (WEAK, STRONG):
+        if kind in (WEAK, STRONG, TALK):
             label += f"#{attributes.get('id', '').lower()}"
         path = paths.below(path, tag, label, kind)
         stack.append((tag, path))
