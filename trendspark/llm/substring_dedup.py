@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -145,9 +145,10 @@ def packages(docs: DataFrame, frequent: np.ndarray, buckets: int, text: str, siz
 def repeated_windows(strings: list[bytes], times: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """String and offset of every window whose words occur twice or more among the strings."""
     numbers: dict[bytes, int] = defaultdict(count().__next__)
-    split = [s.split(b" ") for s in strings]
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    codes = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
+    # One split of all strings: a list of words for each would be walked by the collector again and again.
+    lengths = np.fromiter((s.count(b" ") + 1 for s in strings), np.int64, len(strings))
+    words = b" ".join(strings).split(b" ") if strings else []
+    codes = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
     first = np.cumsum(lengths) - lengths
     of = np.repeat(np.arange(len(strings)), lengths)
     offset = np.arange(len(codes)) - first[of]
