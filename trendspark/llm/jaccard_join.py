@@ -2,12 +2,16 @@
 
 Sizes fall into bands. For a band, two sets that link differ in H shingles at most; hashing cuts the
 universe into H + 1 segments, so one segment at least is the same in both. A set is listed under the
-hash of its subset in each segment that is not empty. Empty segments cost nothing that way, and are
-paid for where they occur: a set with e empty segments also lists the one-deletion neighbourhoods of
-its first segments with two shingles or more, e of them. If all segments without a difference are
-empty in both sets, then one of these has exactly one difference, and the neighbourhoods meet. So the
-cost follows a set's own subsets, and no link is lost. Small sets, where too few segments may be left
-for that, are listed under several hashes.
+hash of its subset in each segment that holds a rare shingle. The other segments, empty ones and those
+whose list would be long, cost nothing that way and are paid for where it is cheap: a set with e of them
+also lists the one-deletion neighbourhoods of its first segments with two rare shingles or more, e of
+them. If all segments without a difference are bare of rare shingles, then one of these has exactly one
+difference, and the neighbourhoods meet. Rare is what passes no step of frequency, counted over all
+texts. A set that has too few segments with two rare shingles goes on to the next step, up to the one at which all
+shingles are rare, and for the sake of sets that stayed below lists all neighbours with a shingle that
+is rare there. A set that fails at the last step too lists all its neighbours and an entry of its band
+that all such sets share; those of few shingles are listed under several hashes first, so that hardly one does.
+So the cost follows the lengths of lists, and no link is lost.
 
 Sets that share a list entry form candidate clusters. A cluster's centre, the set with most company,
 is compared with all others; only sets that it does not reach are compared with the rest, block by
@@ -45,6 +49,10 @@ BLOCK_SHINGLES = 1 << 18
 CELLS = 256
 #: Sets up to this size are listed under several hashes.
 SMALL, SMALL_SEEDS = 64, 3
+#: Places into which the counts of all shingles fall, and strips that they travel in.
+PLACES, STRIPS = 1 << 20, 64
+#: Steps of frequency, as multiples of the mean count of a place.
+STEPS = (4, 16, 64, 256)
 LISTED = "kind int, `{key}` {type}, set bigint, n bigint, bucket bigint, blob binary"
 
 
@@ -85,17 +93,52 @@ def shingle_set(data: bytes, hashes: Hashes, size: int = WORDS) -> np.ndarray:
     return np.unique(run_hashes(codes, size))
 
 
-def entries(shingles: np.ndarray, schemes: Schemes) -> np.ndarray:
-    """Hashes under which a set is listed."""
-    found = []
+def warmth(docs: DataFrame, text: str, size: int) -> np.ndarray:
+    """Of each of ``PLACES`` places of shingle hashes, how many of ``STEPS`` its share of all shingles passes.
+
+    Every task adds up its own counts and sends them in strips; the driver gets one number per place.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, found = Hashes(), np.zeros(PLACES, np.int64)
+        for batch in batches_by_size(batches, text, SLICE_BYTES):
+            for data in set(as_bytes(batch.column(text))):
+                np.add.at(found, place_of(shingle_set(data, hashes, size)), 1)
+        if found.any():
+            strips = found.reshape(STRIPS, -1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(STRIPS), pa.int64()), pa.array([pack(s) for s in strips], pa.binary())],
+                names=["strip", "blob"],
+            )
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(unpack(blob, np.int64)[0] for blob in table.column("blob").to_pylist())
+        return pa.table({"strip": table.column("strip")[:1], "blob": pa.array([pack(total)], pa.binary())})
+
+    schema = "strip bigint, blob binary"
+    rows = docs.select(text).mapInArrow(count, schema).groupBy("strip").applyInArrow(add, schema).collect()
+    found = np.zeros((STRIPS, PLACES // STRIPS), np.int64)
+    for row in rows:
+        found[row["strip"]] = unpack(row["blob"], np.int64)[0]
+    mean = max(1, found.sum() / PLACES)
+    return np.searchsorted(np.array(STEPS) * mean, found.ravel()).astype(np.uint8)
+
+
+def place_of(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - PLACES.bit_length() + 1)).astype(np.int64)
+
+
+def entries(shingles: np.ndarray, schemes: Schemes, warm: np.ndarray | None = None) -> np.ndarray:
+    """Hashes under which a set is listed; ``warm`` holds the steps of its shingles, none if not given."""
+    found, last = [], len(STEPS)
+    warm = np.zeros(len(shingles), np.uint8) if warm is None else warm
     for band in schemes.of(len(shingles)):
-        m = int(schemes.segments[band])
+        m, stuck = int(schemes.segments[band]), True
         for seed in range(SMALL_SEEDS if len(shingles) <= SMALL else 1):
             salt = np.array([band * 8 + seed + 1], np.uint64)
             mixed = mix(shingles ^ mix(salt))
             segment = (mixed >> np.uint64(33)).astype(np.int64) % m
             value = mix(mixed ^ np.uint64(0xD6E8FEB86659FD93))
-            size = np.bincount(segment, minlength=m)
             # Sums of halves stay exact in doubles.
             total = [
                 np.bincount(segment, (value >> np.uint64(shift) & np.uint64(0xFFFFFFFF)).astype(np.float64), m)
@@ -107,29 +150,45 @@ def entries(shingles: np.ndarray, schemes: Schemes) -> np.ndarray:
             def listed(low, high, at, name=name):
                 return mix(mix(low + name[at]) ^ high)
 
-            full = np.flatnonzero(size)
+            # The first step at which enough segments hold two shingles of it or below.
+            below = np.zeros(m, np.int64)
+            for step in range(last + 1):
+                rare = np.bincount(segment[warm <= step], minlength=m)
+                wide = np.flatnonzero(rare >= 2)
+                bare = m - np.count_nonzero(rare)
+                if len(wide) >= bare:
+                    stuck = False
+                    break
+                below = rare
+            full = np.flatnonzero(rare)
             found.append(listed(total[0][full], total[1][full], full))
-            empty = m - len(full)
-            if empty:
-                wide = np.flatnonzero(size >= 2)[:empty]
-                part = np.isin(segment, wide)
+            picked = np.zeros(m, bool)
+            picked[wide[:bare]] = True
+            # Sets that came to terms with fewer steps look for these neighbours.
+            limit = step if len(wide) >= bare else step + 1
+            part = picked[segment] | (below[segment] > (warm < limit))
+            if part.any():
                 at, own = segment[part], value[part]
                 found.append(
                     listed(total[0][at] - (own & np.uint64(0xFFFFFFFF)), total[1][at] - (own >> np.uint64(32)), at)
                 )
+        if stuck:
+            found.append(mix(mix(np.array([band * 8], np.uint64)) ^ np.uint64(0xE7037ED1A0B428DB)))
     return np.unique(np.concatenate(found))
 
 
 def list_entries(
-    docs: DataFrame, buckets: int, key: str, text: str, size: int = WORDS, percent: int = PERCENT
+    docs: DataFrame, buckets: int, key: str, text: str, size: int = WORDS, percent: int = PERCENT,
+    warm: np.ndarray | None = None,
 ) -> DataFrame:
     """Rows of kind 0, one per document with its text's hash and number of shingles, and of kind 1,
     blobs of list entries for a bucket."""
     kind = docs.schema[key].dataType.simpleString()
     schema = LISTED.format(key=key, type=kind)
+    packed = pack(np.zeros(PLACES, np.uint8) if warm is None else warm)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, schemes = Hashes(), Schemes(percent)
+        hashes, schemes, steps = Hashes(), Schemes(percent), unpack(packed, np.uint8)[0]
         for batch in batches_by_size(batches, text, SLICE_BYTES):
             texts = as_bytes(batch.column(text))
             sizes: dict[bytes, tuple[int, int]] = {}
@@ -139,7 +198,7 @@ def list_entries(
                     shingles = shingle_set(data, hashes, size)
                     sizes[data] = text_hash(data), len(shingles)
                     if len(shingles):
-                        own = entries(shingles, schemes)
+                        own = entries(shingles, schemes, steps[place_of(shingles)])
                         refs.append((*sizes[data], len(own)))
                         listed.append(own)
             rows, column = len(texts), batch.column(key)
@@ -435,7 +494,8 @@ def link_edges(docs: DataFrame, listed: DataFrame, buckets: int, text: str, size
 def _with_component(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """``key, set, n, component`` of every document; no component without shingles. Stored."""
     buckets = parts_for(docs.sparkSession, total_bytes(docs, text), BUCKET_BYTES)
-    listed = materialize(list_entries(docs, buckets, key, text, size, percent))
+    warm = warmth(docs, text, size)
+    listed = materialize(list_entries(docs, buckets, key, text, size, percent, warm))
     forest = link_edges(docs, listed, buckets, text, size, percent)
     component = connected_components(materialize(forest)).select(F.col("node").alias("set"), "component")
     return materialize(
