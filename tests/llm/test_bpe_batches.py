@@ -35,3 +35,14 @@ def test_texts_equal_the_library():
         parts = list(own.spelled(text))
         assert "".join(p[0] for p in parts) == "".join(f" {i}" for i in ids)
         assert b"".join(p[1] for p in parts) == text.encode() and sum(p[2] for p in parts) == len(ids)
+
+
+def test_ids_alone_keep_no_spelling():
+    rng, ranks = random.Random(8), bpe.load_ranks(PATH)
+    library = tiktoken.Encoding("x", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [" ".join("".join(rng.choices("abcdeß'1,.", k=rng.randint(0, 12))) for _ in range(300)) for _ in range(40)]
+    own = bpe.Encoder(ranks, PATTERN)
+    own.learn_texts(texts, spelled=False)
+    assert not own.known and len(own.cache) > bpe.FEW
+    for text in texts:
+        assert [i for part in own.encode(text) for i in part] == library.encode_ordinary(text)

@@ -19,6 +19,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
+from functools import cached_property
 from itertools import chain, islice
 
 import numpy as np
@@ -36,6 +37,8 @@ CACHE = 1 << 20
 #: Fewer new words than this are encoded one by one.
 FEW = 500
 BATCH_BYTES = 1 << 24
+#: Bytes of text whose ids are held at once.
+IDS_BYTES = 1 << 22
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -57,16 +60,20 @@ class Encoder:
         self.vocabulary = [b""] * size
         for token, rank in ranks.items():
             self.vocabulary[rank] = token
-        self.digits = [str(i) for i in range(size)]
         self.low = [0] * ((size >> 8) + 1)
         self.bit = [1 << i for i in range(max(256, len(self.low)))]
         self.words: dict[str, tuple[int, ...]] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
         self.known = Known(self)
-        self._pairs()
+        self.byte_ids = np.array([ranks.get(bytes([b]), 0) for b in range(256)], np.int64)
 
-    def _pairs(self) -> None:
-        """All pairs of tokens that make a token, sorted."""
+    @cached_property
+    def digits(self) -> list[str]:
+        return [str(i) for i in range(len(self.vocabulary))]
+
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of tokens that make a token, sorted, and its rank."""
         rank_of, found = self.ranks.get, []
         for whole, rank in self.ranks.items():
             for cut in range(1, len(whole)):
@@ -74,8 +81,7 @@ class Encoder:
                 if left is not None and right is not None:
                     found.append((left * (len(self.vocabulary) + 1) + right, rank))
         table = np.array(sorted(found) or [(-1, -1)], np.int64)
-        self.pair_keys, self.pair_values = table[:, 0].copy(), table[:, 1].copy()
-        self.byte_ids = np.array([rank_of(bytes([b]), 0) for b in range(256)], np.int64)
+        return table[:, 0].copy(), table[:, 1].copy()
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Token ids of one pre-token."""
@@ -205,12 +211,17 @@ class Encoder:
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that two tokens make together, else -1."""
         key = left * (len(self.vocabulary) + 1) + right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_values[at], -1)
+        keys, values = self.pairs
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, values[at], -1)
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: Iterable[str], spelled: bool) -> None:
         """Encode what is new of the distinct words that follow a space, all at once."""
-        new = [w for w in words if w not in self.known and len(w) <= 64]
+        new = [w for w in words if len(w) <= 64]
+        if spelled:
+            new = [w for w in new if w not in self.known]
+        else:
+            new = [w for w in new if " " + w not in self.cache and " " + w not in self.words]
         if len(new) < FEW:
             return
         tokens = [self.split.findall(" " + w) for w in new]
@@ -221,10 +232,11 @@ class Encoder:
         self.cache.update((t, (rank,)) for t, rank in zip(unseen, whole, strict=True) if rank is not None)
         if todo:
             self.cache.update(zip([unseen[i] for i in todo], self.merge_many([pieces[i] for i in todo]), strict=True))
-        for word, own in zip(new, tokens, strict=True):
+        for word, own in zip(new, tokens, strict=True) if spelled else ():
             self.known[word] = self.spell([*chain.from_iterable(map(self.pre_token, own))])
 
-    def learn_texts(self, texts: Iterable[str]) -> None:
+    def learn_texts(self, texts: Iterable[str], spelled: bool = True) -> None:
+        """Get to know the words of texts, also as they are written if they are to be ``spelled``."""
         self.make_room()
         if len(self.known) > CACHE // 2:
             self.known.clear()
@@ -234,7 +246,7 @@ class Encoder:
         # Nothing made here is part of a cycle.
         gc.disable()
         try:
-            self.learn(words)
+            self.learn(words, spelled)
         finally:
             gc.enable()
 
@@ -354,10 +366,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = get()
-        for batch in batches_by_size(batches, text, BATCH_BYTES):
+        for batch in batches_by_size(batches, text, IDS_BYTES):
             flat, ends = array("i"), [0]
             texts = [value.decode() for value in as_bytes(batch.column(text))]
-            bpe.learn_texts(texts)
+            bpe.learn_texts(texts, spelled=False)
             for value in texts:
                 for part in bpe.encode(value):
                     flat.extend(part)
@@ -381,9 +393,9 @@ def decode(
         for batch in batches:
             column = batch.column(ids)
             sizes = column.value_lengths().fill_null(0).to_pylist()
-            flat, found, at = column.flatten().to_numpy().tolist(), [], 0
+            flat, found, at = column.flatten().to_numpy(), [], 0
             for size in sizes:
-                found.append(bpe.decode(flat[at:at + size]))
+                found.append(bpe.decode(flat[at:at + size].tolist()))
                 at += size
             yield batch.append_column(decoded, pa.array(found, pa.binary()))
 
@@ -399,7 +411,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
         for batch in batches_by_size(batches, text, BATCH_BYTES):
             counts, ids_hash, text_hash = [], [], []
             texts = [value.decode() for value in as_bytes(batch.column(text))]
-            bpe.learn_texts(texts)
+            bpe.learn_texts(texts, spelled=True)
             for value in texts:
                 count, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
                 for written, data, many in bpe.spelled(value):
