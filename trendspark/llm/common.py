@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +38,21 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [value or b"" for value in column.cast(pa.large_binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on and idles while other stages run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def batches_by_size(
     batches: Iterator[pa.RecordBatch], column: str, limit: int
 ) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` bytes of ``column``; a longer row is a slice of its own."""
+    give_back()
     for batch in batches:
-        sizes = [len(value) for value in as_bytes(batch.column(column))]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = total = 0
         for row, size in enumerate(sizes):
             if row > start and total + size > limit:
@@ -50,6 +61,8 @@ def batches_by_size(
             total += size
         if start < len(sizes):
             yield batch.slice(start)
+        del batch
+        give_back()
 
 
 def total_bytes(df: DataFrame, column: str) -> int:

@@ -32,7 +32,7 @@ from trendspark.session import materialize
 
 SIZE, MER = 35, 8
 #: Input handled at once, and packed strings of one bucket before compression.
-SLICE_BYTES, BUCKET_BYTES = 1 << 24, 1 << 24
+SLICE_BYTES, BUCKET_BYTES = 1 << 24, 1 << 23
 #: Packed strings repeat the words around their windows about so often.
 EXPANSION = 3.5
 #: A run is frequent if it has this share of all runs: 125,000 runs at most.
