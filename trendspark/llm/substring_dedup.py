@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import as_bytes, batches_by_size, free, parts_for, total_bytes
+from trendspark.llm.common import as_bytes, batches_by_size, free, give_back, parts_for, total_bytes
 from trendspark.llm.hashing import Hashes, mix, run_hashes, slices, text_hash, word_codes
 from trendspark.session import materialize
 
@@ -213,6 +213,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", size: int = SIZE, mer:
 
     def reduce(table: pa.Table) -> pa.Table:
         found = ranges_of_bucket(table.column("blob").to_pylist(), size)
+        give_back()
         return pa.Table.from_pandas(found, preserve_index=False)
 
     ranges = (
