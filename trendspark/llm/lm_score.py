@@ -19,8 +19,9 @@ probability 1/256; repeated rows count as often as they occur; a null id belongs
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -63,27 +64,30 @@ class Chunk:
 
     def __init__(self, texts: list[bytes], learn: list[bool], buckets: int) -> None:
         self.buckets, self.streams = buckets, []
-        self.word_counts: Counter[bytes] = Counter()
-        known: set[bytes] = set()
-        for data, used in zip(texts, learn, strict=True):
-            words = data.lower().split()
-            self.streams.append(b" ".join(words) + END)
-            if used:
-                self.word_counts.update(words)
-            else:
-                known.update(words)
-        known.update(self.word_counts)
-        self.by_bucket: dict[int, list[bytes]] = {}
-        for word in sorted(known):
-            self.by_bucket.setdefault(zlib.crc32(word) % buckets, []).append(word)
+        numbers: dict[bytes, int] = defaultdict(count().__next__)
+        lengths = []
+
+        def words_of():
+            for data in texts:
+                words = data.lower().split()
+                self.streams.append(b" ".join(words) + END)
+                lengths.append(len(words))
+                yield words
+
+        # One look-up a word, here only: its number, by which counts are added up and answers read.
+        self.word_at = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words_of())), np.int32)
+        self.n_words = np.array(lengths, np.int64)
+        learned = self.word_at[np.repeat(np.array(learn, bool), self.n_words)]
+        self.word_counts = np.bincount(learned, minlength=len(numbers))
+        self.by_bucket = split_words(numbers, buckets)
         used, values, counts = np.array(learn, bool), [], []
         for data, at, doc in self.pieces():
             found = self.sequences_at(data, at)
             learned = used[doc]
             for part, weight in ((found[learned], 1), (found[~learned], 0)):
-                value, count = np.unique(part, return_counts=True)
+                value, times = np.unique(part, return_counts=True)
                 values.append(value)
-                counts.append(count * weight)
+                counts.append(times * weight)
         self.sequence, inverse = np.unique(np.concatenate(values), return_inverse=True)
         self.counts = np.bincount(inverse, np.concatenate(counts), len(self.sequence)).astype(np.int64)
 
@@ -122,24 +126,26 @@ class Chunk:
         for k in range(DEPTH, -1, -1):
             cell = row * size + code[self.sequence >> (8 * k) & 255]
             met, row = np.unique(cell, return_inverse=True)
-            table = np.zeros(size * (1 if not tables else int(tables[-1].max()) + 1), np.int32)
+            table = np.zeros(size * (1 if not tables else int(tables[-1].max()) + 1), np.int64)
             table[met] = np.arange(len(met))
             tables.append(table)
 
         def find(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+            # All places are read in a row; what the padding between texts leads to is not looked at.
             own = code[data]
-            row = np.zeros(len(at), np.int32)
+            row = np.zeros(len(data) - DEPTH, np.int64)
             for k, table in zip(range(DEPTH, -1, -1), tables, strict=True):
-                row = table[row * np.int64(size) + own[at - k]]
-            return row
+                row *= size
+                row += own[DEPTH - k:len(own) - k]
+                row = np.take(table, row)
+            return row[at - DEPTH]
 
         return find
 
     def requests(self):
         """Blobs by kind and bucket: sorted words or sequences, with training counts."""
-        for bucket, words in self.by_bucket.items():
-            counts = np.array([self.word_counts[w] for w in words], np.int64)
-            yield "word", bucket, pack(counts, tail=b"\n".join(words))
+        for bucket, (words, number) in self.by_bucket.items():
+            yield "word", bucket, pack(self.word_counts[number].astype(np.int64), tail=b"\n".join(words))
         for bucket, rows in self.sequence_rows():
             yield "bytes", bucket, pack(self.sequence[rows], self.counts[rows].astype(np.int32))
 
@@ -152,6 +158,17 @@ class Chunk:
                 yield int(bucket[rows[0]]), rows
 
 
+def split_words(numbers: dict[bytes, int], buckets: int) -> dict[int, tuple[list[bytes], np.ndarray]]:
+    """Words of each bucket in their order, and their numbers."""
+    names = sorted(numbers)
+    number = np.fromiter(map(numbers.__getitem__, names), np.int64, len(names))
+    bucket = np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % buckets
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    parts = np.split(order, cuts) if len(order) else []
+    return {int(bucket[rows[0]]): ([names[i] for i in rows.tolist()], number[rows]) for rows in parts}
+
+
 def bucket_of(nearest: np.ndarray, half: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of two bytes of context and the upper half of the third."""
     return ((nearest * SPLITS + half) * 2654435761 >> 13) % buckets
@@ -375,35 +392,27 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
 
     def finish(table: pa.Table, answered: pa.Table) -> pa.Table:
         chunk = chunk_of(table)
-        counts: dict[bytes, int] = {}
+        times = np.zeros(len(chunk.word_counts))
         found = np.zeros(len(chunk.sequence), np.float32)
         rows = dict(chunk.sequence_rows())
         for what, bucket, blob in zip(*(answered.column(c).to_pylist() for c in ("kind", "bucket", "blob")), strict=True):
             if what == "word":
-                values = unpack(blob, np.int64)[0]
-                counts.update(zip(chunk.by_bucket[bucket], values.tolist(), strict=True))
+                times[chunk.by_bucket[bucket][1]] = unpack(blob, np.int64)[0]
             else:
                 found[rows[bucket]] = unpack(blob, np.float32)[0]
         total = np.zeros(len(chunk.streams))
         find = chunk.finder()
         for data, at, doc in chunk.pieces():
             total += np.bincount(doc, found[find(data, at)], len(total))
-        number = {word: i for i, word in enumerate(counts)}
-        count = np.fromiter(counts.values(), np.float64, len(counts))
-        cost = base(count)
-        end_cost, n_tokens, n_known, base_score = float(base(np.array([n_docs]))[0]), [], [], []
-        for stream in chunk.streams:
-            own = stream.split()
-            at = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
-            n_tokens.append(len(own) + 1)
-            n_known.append(int((count[at] > 0).sum()) + (n_docs > 0))
-            base_score.append(float(cost[at].sum()) + end_cost)
+        doc = np.repeat(np.arange(len(total)), chunk.n_words)
+        n_known = np.bincount(doc, (times > 0)[chunk.word_at], len(total)).astype(np.int64) + (n_docs > 0)
+        base_score = np.bincount(doc, base(times)[chunk.word_at], len(total)) + base(np.array([n_docs]))[0]
         size = len(total)
         return pa.table(
             {
                 key: table.column(key),
                 "held_out": table.column("held_out"),
-                "n_tokens": pa.array(n_tokens, pa.int64()),
+                "n_tokens": pa.array(chunk.n_words + 1, pa.int64()),
                 "n_known": pa.array(n_known, pa.int64()),
                 "train_tokens": pa.array([train_tokens] * size, pa.int64()),
                 "base_score": pa.array(base_score, pa.float64()),
