@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -105,6 +107,42 @@ def test_summaries(spark):
     assert set(rows(summary.summarize_with_model(inputs, broken), "summary")) == {("[Summary failed: no model]",), (NO_SUMMARY,)}
 
 
+def test_summary_passes_over_repeats(spark):
+    text = "Guard injury stops season today. Guard injury stops season tonight. Coach leaves club."
+    inputs = spark.createDataFrame([("c", 0, text)], "category string, topic int, summary_input string")
+    weights = spark.createDataFrame(
+        [("c", 0, w, 1.0) for w in ("guard", "injury", "stops", "season")] + [("c", 0, "coach", 0.1)],
+        "category string, topic int, term string, weight double",
+    )
+    assert rows(summary.summarize(inputs, weights, 10, 1))[0][2] == " ".join(text.split()[:10])
+    found = rows(summary.summarize(inputs, weights, 10, 1, overlap=0.6))
+    assert found == [("c", 0, "Guard injury stops season today. Coach leaves club.")]
+
+
+@pytest.mark.parametrize("overlap", [0.0, 0.5, 1.0])
+def test_distinct_sentences_by_brute_force(spark, overlap):
+    rng = random.Random(5)
+    names = ["guard", "coach", "club", "goal", "final", "the", "and"]
+    given = []
+    for topic in range(6):
+        for pos in range(rng.randint(1, 14)):
+            sentence = " ".join(rng.choice(names) for _ in range(rng.randint(1, 5)))
+            given.append(("c", topic, pos, sentence, float(rng.randint(0, 3)), len(sentence.split())))
+    scored = spark.createDataFrame(given, "category string, topic int, pos int, sentence string, score double, tokens int")
+    want = []
+    for topic in range(6):
+        kept = []
+        for row in sorted((r for r in given if r[1] == topic), key=lambda r: (-r[4], r[2])):
+            own = set(row[3].split()) - {"the", "and"}
+            if all(len(own & other) < overlap * len(own | other) for other, _ in kept):
+                kept.append((own, row))
+        want += [row for _, row in kept]
+    found = summary.distinct_sentences(scored, overlap, ["the", "and"])
+    assert found.columns == scored.columns
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert summary.distinct_sentences(scored.limit(0), overlap).count() == 0
+
+
 def trend(cluster, n, category="nba", summary="about guard", titles=("One", "Guard talk"), end="2024-01-02", start="2024-01-01"):
     return (cluster, n, category, ["k1", "k2"], summary, list(titles), start, end)
 

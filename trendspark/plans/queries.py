@@ -384,6 +384,13 @@ def summarize(spark, folder):
     return summaries(spark, folder)
 
 
+@query
+def summarize_distinct(spark, folder):
+    """Summaries that pass over sentences which repeat a better one."""
+    inputs = trends.summary_input(best_posts(spark, folder), 1024)
+    return summary.summarize(inputs, weights(spark, folder), overlap=0.6)
+
+
 def trend_table(spark, folder):
     posts = document_posts(spark, folder)
     found = weights(spark, folder)

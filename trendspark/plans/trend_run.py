@@ -119,7 +119,8 @@ def find_trends(
         summaries = summarize_with_model(inputs, models.summarize)
     else:
         summaries = summarize(
-            inputs, weights, settings.summary_max_length, settings.summary_min_length, settings.ngram_range, stop
+            inputs, weights, settings.summary_max_length, settings.summary_min_length, settings.ngram_range, stop,
+            None if settings.parity else settings.summary_overlap,
         )
     trends = order_trends(trend_rows(named, posts, top_titles(top), summaries))
     return TrendRun(posts, named, trends)
