@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -117,3 +118,22 @@ def test_trigrams_of_a_very_long_text(spark):
     assert totals == {"xx": 125_000 * 8 - 3, "yy": 1}
     grams = spark.createDataFrame([("ä😀b",), ("a",), ("",), (None,)], "t string").select(language.trigrams(F.col("t"), None).alias("g"))
     assert [r["g"] for r in grams.collect()] == [["ä😀b"], ["a"], [""], None]
+
+
+def test_a_slice_asks_once_and_only_for_what_may_be_listed(spark):
+    entries = spark.createDataFrame(
+        [("fr", "pomme de", "apple", 2), ("fr", "de", "of", 1), ("de", "le chat", "never", 2)], "lang string, src string, dst string, length int"
+    )
+    texts = pa.array(["pomme de terre de pomme de", "", "le chat", "pomme", "de"])
+    asked = translation._asked(translation._marked(entries), "fr", [1, 2], texts)
+    assert sorted(asked.to_pylist()) == ["de", "pomme de"]
+
+
+def test_repeated_and_null_keys_are_translated_as_one_text_and_not_at_all(spark):
+    data = [(1, "fr", "le chat noir"), (1, "fr", "le chat"), (None, "fr", "le chat"), (2, "de", "le chat"), (3, "fr", "chat")]
+    rows_ = spark.createDataFrame(data, "ingest_seq bigint, detected_language string, text string")
+    entries = [("fr", "le chat", "the cat"), ("fr", "chat", None), ("fr", "noir", "black")]
+    found = translation.translate_lexicon(rows_, spark.createDataFrame(entries, "lang string, src string, dst string"), ("text",))
+    assert rows(found, "ingest_seq", "text_en") == [
+        (1, "the cat chat chat black"), (1, "the cat chat chat black"), (2, "le chat"), (3, "chat"), (None, "le chat"),
+    ]

@@ -36,3 +36,14 @@ def test_many_ties_are_counted_as_before(posts, monkeypatch):
     monkeypatch.setattr(topics, "ASKED", 3)
     found = topics.vocabulary_counts(posts, "text", (1, 2), stopwords(), 20)
     assert rows(found) == rows(topics.term_counts(posts, "text", (1, 2), stopwords()))
+
+
+def test_rare_ngrams_of_frequent_words_do_not_travel(spark):
+    """Each pair but one occurs once; the vocabulary asks for ten, and a task holds all texts."""
+    text = " ".join(["aa bb"] * 10 + ["cc aa cc bb dd cc"])
+    texts = spark.createDataFrame([("c", 0, text)], "category string, topic int, words string").coalesce(1)
+    words = {"c": ["aa", "bb", "cc", "dd"]}
+    found = topics._longer(texts, (1, 2), [], words, {"c": (10, 26)})
+    assert rows(found, "term", "n") == [("aa bb", 10)]
+    every = topics._longer(texts, (1, 2), [], words, None)
+    assert ("bb aa", 9) in rows(every, "term", "n") and ("dd cc", 1) in rows(every, "term", "n")
