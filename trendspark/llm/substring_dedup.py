@@ -15,6 +15,7 @@ window just because it is the first one. Extra columns stay as they are.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -91,14 +92,15 @@ class Package:
 
     def __init__(self) -> None:
         self.ids: dict[bytes, int] = {}
-        self.rows: list[tuple[int, int, int, int, int]] = []
+        # Five numbers an occurrence; as tuples they would take as much memory as the strings.
+        self.rows = array("q")
 
     def add(self, string: bytes, key: int, n_words: int, start: int, times: int) -> None:
-        self.rows.append((self.ids.setdefault(string, len(self.ids)), key, n_words, start, times))
+        self.rows.extend((self.ids.setdefault(string, len(self.ids)), key, n_words, start, times))
 
     def blob(self, packer: zstandard.ZstdCompressor) -> bytes:
-        table = np.array(self.rows, np.int64).T.tobytes()
-        return packer.compress(len(self.rows).to_bytes(8, "little") + table + b"\n".join(self.ids))
+        table = np.frombuffer(self.rows, np.int64).reshape(-1, 5)
+        return packer.compress(len(table).to_bytes(8, "little") + table.T.tobytes() + b"\n".join(self.ids))
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
@@ -135,7 +137,7 @@ def packages(docs: DataFrame, frequent: np.ndarray, buckets: int, text: str, siz
             for first in range(0, len(names), 64):
                 part = names[first:first + 64]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.int64()), pa.array([own[b].blob(packer) for b in part], pa.binary())],
+                    [pa.array(part, pa.int64()), pa.array([own.pop(b).blob(packer) for b in part], pa.binary())],
                     names=["bucket", "blob"],
                 )
 
