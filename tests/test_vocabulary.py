@@ -47,3 +47,17 @@ def test_rare_ngrams_of_frequent_words_do_not_travel(spark):
     assert rows(found, "term", "n") == [("aa bb", 10)]
     every = topics._longer(texts, (1, 2), [], words, None)
     assert ("bb aa", 9) in rows(every, "term", "n") and ("dd cc", 1) in rows(every, "term", "n")
+
+
+def test_texts_are_coded_once_and_odd_characters_part_words_as_before(spark, monkeypatch):
+    """All passes over the posts read slices in which every distinct word of a slice stands once."""
+    odd = ["one×two÷two", "µm ªa º² x", "ÀÉ straße İstanbul", "naïve—dash 日本語、日本語", "٣٤ ab́c", "the a  b!!cc cc", "", None]
+    posts = spark.createDataFrame([("c", i % 2, t) for i, t in enumerate(odd * 3)], "category string, topic int, text string")
+    made, coded = [], topics._coded
+    monkeypatch.setattr(topics, "_coded", lambda *args: made.append(coded(*args)) or made[-1])
+    found = topics.vocabulary_counts(posts, "text", (1, 2), stopwords(), 1000)
+    of = ["category", "topic", "term", "n"]
+    assert rows(found, *of) == rows(topics.term_counts(posts, "text", (1, 2), stopwords()), *of)
+    assert len(made) == 1
+    for terms in (row["terms"].split(" ") for row in made[0].collect()):
+        assert len(set(terms)) == len(terms) and not {"the", "a", ""} & set(terms)
