@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import as_bytes, batches_by_size, free, parts_for, total_bytes
+from trendspark.llm.common import as_bytes, batches_by_size, free, give_back, parts_for, total_bytes
 from trendspark.llm.hashing import Hashes, mix, run_hashes, text_hash, word_codes
 from trendspark.llm.lm_score import pack, unpack
 from trendspark.operators.components import connected_components
@@ -45,6 +45,8 @@ SLICE_BYTES = 1 << 22
 BUCKET_BYTES = 1 << 24
 #: Shingles of the sets that are compared in one block.
 BLOCK_SHINGLES = 1 << 18
+#: List entries of a bucket that are sorted at once.
+MEET = 1 << 18
 #: Cells of the counts that bound differences; cells are named by eight bits.
 CELLS = 256
 #: Sets up to this size are listed under several hashes.
@@ -253,27 +255,41 @@ def local_roots(one: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
 
 
 def meet(table: pa.Table, ranges: int) -> pa.Table:
-    """Sets of one bucket that share an entry: blobs of (set, n, root, company) by range of the set."""
+    """Sets of one bucket that share an entry: blobs of (set, n, root, company) by range of the set.
+
+    Entries are gone through ``MEET`` at a time, those of one hash together, so that memory follows
+    the packed entries and not the arrays made of them.
+    """
     sets, sizes, refs, listed, base = [], [], [], [], 0
-    for blob in table.column("blob").to_pylist():
-        own, n, ref, entry, _ = unpack(blob, np.int64, np.int64, np.int32, np.uint32)
+    for blob in table.column("blob"):
+        own, n, ref, entry, _ = unpack(blob.as_buffer(), np.int64, np.int64, np.int32, np.uint32)
         sets.append(own)
         sizes.append(n)
-        refs.append(ref.astype(np.int64) + base)
+        refs.append((ref, base))
         listed.append(entry)
         base += len(own)
     node, first, number = np.unique(np.concatenate(sets), return_index=True, return_inverse=True)
-    size = np.concatenate(sizes)[first]
-    pairs = np.unique(
-        np.concatenate(listed).astype(np.uint64) << np.uint64(32)
-        | number[np.concatenate(refs)].astype(np.uint64)
-    )
-    entry, member = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    begin = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
-    many = np.diff(np.append(begin, len(entry)))
-    group = np.repeat(np.arange(len(begin)), many)
-    company = np.bincount(member, many[group] - 1, len(node)).astype(np.int64)
-    root = local_roots(member[begin[group]], member, len(node))
+    size, number = np.concatenate(sizes)[first], number.astype(np.int32)
+    parts = max(1, -(-sum(map(len, listed)) // MEET))
+    company, trees = np.zeros(len(node), np.int64), [np.zeros((2, 0), np.int64)]
+    for part in range(parts):
+        low, high = (-(-(k << 32) // parts) for k in (part, part + 1))
+        pairs = []
+        for entry, (ref, of) in zip(listed, refs, strict=True):
+            at = np.flatnonzero((entry >= low) & (entry <= high - 1))
+            pairs.append(entry[at].astype(np.uint64) << np.uint64(32) | number[ref[at] + of].astype(np.uint64))
+        pairs = np.unique(np.concatenate(pairs))
+        if not len(pairs):
+            continue
+        entry, member = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
+        many = np.diff(np.append(begin, len(entry)))
+        group = np.repeat(np.arange(len(begin)), many)
+        company += np.bincount(member, many[group] - 1, len(node)).astype(np.int64)
+        root = local_roots(member[begin[group]], member, len(node))
+        grown = np.flatnonzero(root != np.arange(len(node)))
+        trees.append(np.stack([grown, root[grown]]))
+    root = local_roots(*np.concatenate(trees, axis=1), len(node))
     met = np.flatnonzero(company)
     part = (node[met] & 0x7FFFFFFF) % ranges
     order = np.argsort(part, kind="stable")
@@ -282,6 +298,8 @@ def meet(table: pa.Table, ranges: int) -> pa.Table:
         at = met[rows]
         blobs.append(pack(node[at], size[at], node[root[at]], company[at]))
         names.append(int(part[rows[0]]))
+    del sets, sizes, refs, listed, trees
+    give_back()
     return pa.table({"range": pa.array(names, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
