@@ -5,7 +5,7 @@ least hash, where runs that are frequent in the corpus come last, so that a pass
 does not gather their surroundings in one bucket. Consecutive windows of one minimiser travel as one
 packed string to the minimiser's bucket; equal windows meet there, are sorted by a rolling hash,
 compared word by word and counted exactly. Equal texts and equal strings are counted once per
-slice of input before they travel. What comes back is ranges of words to remove.
+slice of input before they travel. A string whose minimiser occurs nowhere else is not looked into. What comes back is ranges of words to remove.
 
 Defined results: null and empty texts have no words and nothing to remove; texts shorter than a
 window stay whole; repeated rows count as other places, so all their windows go; nothing is kept of a
@@ -49,13 +49,22 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[:-rest], least[rest:]) if rest else least
 
 
-def minimisers(codes: np.ndarray, frequent: np.ndarray, size: int, mer: int) -> np.ndarray:
-    """Minimiser of every window; frequent runs have their highest bit set."""
+def ranked_runs(codes: np.ndarray, frequent: np.ndarray, mer: int) -> np.ndarray:
+    """Hash of every run of ``mer`` words, by which minimisers are chosen; frequent runs have their highest bit set."""
     runs = run_hashes(codes, mer) >> np.uint64(1)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, runs), len(frequent) - 1)
         runs = runs | (frequent[at] == runs).astype(np.uint64) << np.uint64(63)
-    return sliding_least(runs, size - mer + 1)
+    return runs
+
+
+def occur_twice(values: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Whether each of the values occurs more than once among the runs."""
+    order = np.sort(runs)
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
+        return np.zeros(len(values), bool)
+    return twice[np.minimum(np.searchsorted(twice, values), len(twice) - 1)] == values
 
 
 def frequent_runs(docs: DataFrame, text: str, size: int, mer: int) -> np.ndarray:
@@ -88,15 +97,24 @@ def frequent_runs(docs: DataFrame, text: str, size: int, mer: int) -> np.ndarray
 
 
 class Package:
-    """Strings of one bucket from one slice, and where they occur."""
+    """Strings of one bucket from one slice, and where they occur.
+
+    A string's mark tells its minimiser; the lowest bit is set if a text with it has that run twice.
+    """
 
     def __init__(self) -> None:
         self.ids: dict[bytes, int] = {}
+        self.marks = array("I")
         # Five numbers an occurrence; as tuples they would take as much memory as the strings.
         self.rows = array("q")
 
-    def add(self, string: bytes, key: int, n_words: int, start: int, times: int) -> None:
-        self.rows.extend((self.ids.setdefault(string, len(self.ids)), key, n_words, start, times))
+    def add(self, string: bytes, key: int, n_words: int, start: int, times: int, mark: int = 0) -> None:
+        number = self.ids.setdefault(string, len(self.ids))
+        if number == len(self.marks):
+            self.marks.append(mark)
+        else:
+            self.marks[number] |= mark
+        self.rows.extend((number, key, n_words, start, times))
 
     def blob(self, packer: zstandard.ZstdCompressor) -> bytes:
         table = np.frombuffer(self.rows, np.int64).reshape(-1, 5)
@@ -111,7 +129,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
 
 
 def packages(docs: DataFrame, frequent: np.ndarray, buckets: int, text: str, size: int, mer: int) -> DataFrame:
-    """Super-k-mers of all texts: one row (bucket, blob) per slice and bucket."""
+    """Super-k-mers of all texts: one row (bucket, blob, marks) per slice and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, packer = Hashes(), zstandard.ZstdCompressor(level=3)
@@ -122,26 +140,31 @@ def packages(docs: DataFrame, frequent: np.ndarray, buckets: int, text: str, siz
                 n = len(words)
                 if n < size:
                     continue
-                least = minimisers(word_codes(words, hashes), frequent, size, mer)
+                runs = ranked_runs(word_codes(words, hashes), frequent, mer)
+                least = sliding_least(runs, size - mer + 1)
                 begins = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
                 ends = np.append(begins[1:], len(least)) + (size - 1)
-                bucket = (mix(least[begins]) % np.uint64(buckets)).tolist()
+                mixed = mix(least[begins])
+                bucket = (mixed % np.uint64(buckets)).tolist()
+                mark = (mixed >> np.uint64(33) << np.uint64(1) | occur_twice(least[begins], runs).astype(np.uint64)).tolist()
                 plain = b" ".join(words)
                 lengths = np.fromiter(map(len, words), np.int64, n) + 1
                 place = np.concatenate([[0], np.cumsum(lengths)])
                 key = text_hash(data)
-                cuts = zip(bucket, begins.tolist(), place[begins].tolist(), (place[ends] - 1).tolist(), strict=True)
-                for b, start, low, high in cuts:
-                    own[b].add(plain[low:high], key, n, start, times)
+                cuts = zip(bucket, begins.tolist(), place[begins].tolist(), (place[ends] - 1).tolist(), mark, strict=True)
+                for b, start, low, high, m in cuts:
+                    own[b].add(plain[low:high], key, n, start, times, m)
             names = sorted(own)
             for first in range(0, len(names), 64):
                 part = names[first:first + 64]
+                marks = [own[b].marks.tobytes() for b in part]
+                blobs = [own.pop(b).blob(packer) for b in part]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.int64()), pa.array([own.pop(b).blob(packer) for b in part], pa.binary())],
-                    names=["bucket", "blob"],
+                    [pa.array(part, pa.int64()), pa.array(blobs, pa.binary()), pa.array(marks, pa.binary())],
+                    names=["bucket", "blob", "marks"],
                 )
 
-    return docs.select(text).mapInArrow(run, "bucket bigint, blob binary")
+    return docs.select(text).mapInArrow(run, "bucket bigint, blob binary, marks binary")
 
 
 def repeated_windows(strings: list[bytes], times: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,19 +201,31 @@ def repeated_windows(strings: list[bytes], times: np.ndarray, size: int) -> tupl
     return of[starts], offset[starts]
 
 
-def ranges_of_bucket(blobs: list[bytes], size: int) -> pd.DataFrame:
+def worth_a_look(marks: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Strings that may have a repeated window: the run that is its minimiser has to occur twice as well."""
+    group = np.unique(marks >> 1, return_inverse=True)[1]
+    return np.flatnonzero((np.bincount(group, times)[group] >= 2) | (marks & 1 == 1)) if len(marks) else np.zeros(0, np.int64)
+
+
+def ranges_of_bucket(blobs: list[bytes], size: int, marks: list[bytes]) -> pd.DataFrame:
     """Ranges (key, n_words, start, end) of words to remove."""
     ids: dict[bytes, int] = {}
-    tables = []
+    tables, owns = [], []
     for blob in blobs:
         table, strings = unpack(blob)
         own = np.fromiter((ids.setdefault(s, len(ids)) for s in strings), np.int64, len(strings))
+        owns.append(own)
         table = table.copy()
         table[0] = own[table[0]]
         tables.append(table)
     table = np.concatenate(tables, axis=1)
     times = np.bincount(table[0], table[4], len(ids))
-    of, offset = repeated_windows(list(ids), times, size)
+    mark = np.zeros(len(ids), np.uint32)
+    for own, part in zip(owns, marks, strict=True):
+        mark[own] |= np.frombuffer(part, np.uint32)
+    strings, looked_at = list(ids), worth_a_look(mark, times)
+    of, offset = repeated_windows([strings[i] for i in looked_at.tolist()], times[looked_at], size)
+    of = looked_at[of]
     order = np.lexsort((offset, of))
     of, offset = of[order], offset[order]
     cut = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1)])) if len(of) else []
@@ -198,6 +233,9 @@ def ranges_of_bucket(blobs: list[bytes], size: int) -> pd.DataFrame:
     runs = pd.DataFrame({"of": of[cut], "low": offset[cut], "high": offset[last] + size}) if len(of) else None
     if runs is None:
         return pd.DataFrame({n: np.zeros(0, np.int64) for n in ("key", "n_words", "start", "end")})
+    met = np.zeros(len(ids), bool)
+    met[of] = True
+    table = table[:, met[table[0]]]
     places = pd.DataFrame({"of": table[0], "key": table[1], "n_words": table[2], "at": table[3]}).drop_duplicates()
     found = places.merge(runs, on="of")
     found["start"], found["end"] = found["at"] + found["low"], found["at"] + found["high"]
@@ -214,7 +252,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", size: int = SIZE, mer:
     buckets = parts_for(spark, int(total_bytes(docs, text) * EXPANSION), BUCKET_BYTES)
 
     def reduce(table: pa.Table) -> pa.Table:
-        found = ranges_of_bucket(table.column("blob").to_pylist(), size)
+        found = ranges_of_bucket(table.column("blob").to_pylist(), size, table.column("marks").to_pylist())
         give_back()
         return pa.Table.from_pandas(found, preserve_index=False)
 
