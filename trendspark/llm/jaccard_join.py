@@ -37,7 +37,7 @@ from trendspark.llm.common import as_bytes, batches_by_size, free, give_back, pa
 from trendspark.llm.hashing import Hashes, mix, run_hashes, text_hash, word_codes
 from trendspark.llm.lm_score import pack, unpack
 from trendspark.operators.components import connected_components
-from trendspark.session import materialize
+from trendspark.session import materialize, scratch
 
 WORDS, PERCENT = 4, 85
 SLICE_BYTES = 1 << 22
@@ -511,16 +511,18 @@ def link_edges(docs: DataFrame, listed: DataFrame, buckets: int, text: str, size
 
 def _with_component(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """``key, set, n, component`` of every document; no component without shingles. Stored."""
-    buckets = parts_for(docs.sparkSession, total_bytes(docs, text), BUCKET_BYTES)
-    warm = warmth(docs, text, size)
-    listed = materialize(list_entries(docs, buckets, key, text, size, percent, warm))
-    forest = link_edges(docs, listed, buckets, text, size, percent)
-    component = connected_components(materialize(forest)).select(F.col("node").alias("set"), "component")
-    return materialize(
-        listed.filter("kind = 0").select(key, "set", "n").join(component, "set", "left").withColumn(
-            "component", F.when(F.col("n") > 0, F.coalesce("component", "set"))
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        buckets = parts_for(spark, total_bytes(docs, text), BUCKET_BYTES)
+        warm = warmth(docs, text, size)
+        listed = materialize(list_entries(docs, buckets, key, text, size, percent, warm))
+        forest = link_edges(docs, listed, buckets, text, size, percent)
+        component = connected_components(materialize(forest)).select(F.col("node").alias("set"), "component")
+        return keep(
+            listed.filter("kind = 0").select(key, "set", "n").join(component, "set", "left").withColumn(
+                "component", F.when(F.col("n") > 0, F.coalesce("component", "set"))
+            )
         )
-    )
 
 
 def components(

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendspark.llm.common import as_bytes, batches_by_size
-from trendspark.session import materialize
+from trendspark.session import materialize, scratch
 
 BUCKETS, DIMENSIONS, REACH, NONZERO = 1 << 14, 32, 2, 2
 #: Bound of the labelled rows used for learning.
@@ -260,7 +260,9 @@ def keep_good(
     Rows are scored where they lie, so repeated and null keys do no harm and no text is shuffled.
     """
     words = word_vectors(docs, text)
-    network = train(materialize(document_vectors(docs, words, key, text)), labels, learn, key, label)
+    # The kept rows are scored where they lie, so the vectors are for training only.
+    with scratch(docs.sparkSession):
+        network = train(materialize(document_vectors(docs, words, key, text)), labels, learn, key, label)
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from trendspark.llm.common import as_bytes, batches_by_size, free, give_back, parts_for, total_bytes
 from trendspark.llm.hashing import Hashes, mix, run_hashes, slices, text_hash, word_codes
-from trendspark.session import materialize
+from trendspark.session import materialize, scratch
 
 SIZE, MER = 35, 8
 #: Input handled at once, and packed strings of one bucket before compression.
@@ -286,7 +286,8 @@ def kept_words(data: bytes, ranges: list[dict] | None) -> tuple[list[bytes], int
 def _with_ranges(docs: DataFrame, text: str, size: int, mer: int) -> DataFrame:
     """``docs`` and a last column with the ranges of its text."""
     key, found = free(docs, "_key", "_ranges")
-    ranges = materialize(repeated_ranges(docs, text, size, mer))
+    with scratch(docs.sparkSession) as keep:
+        ranges = keep(repeated_ranges(docs, text, size, mer))
     ranges = ranges.select(F.col("key").alias(key), F.col("ranges").alias(found))
     return docs.withColumn(key, text_key(text)).join(ranges, key, "left").select(*docs.columns, found)
 
