@@ -3,9 +3,11 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 from trendspark.llm import bpe
+from trendspark.llm.common import batches_by_length
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -46,3 +48,27 @@ def test_ids_alone_keep_no_spelling():
     assert not own.known and len(own.cache) > bpe.FEW
     for text in texts:
         assert [i for part in own.encode(text) for i in part] == library.encode_ordinary(text)
+
+
+def test_cached_ids_are_one_object_each():
+    rng, ranks = random.Random(9), bpe.load_ranks(PATH)
+    own = bpe.Encoder(ranks, PATTERN)
+    own.learn_texts([" ".join("".join(rng.choices("abcdehiou", k=9)) for _ in range(3_000))], spelled=False)
+    ids = [i for cached in own.cache.values() for i in cached]
+    assert len(ids) > 3 * bpe.FEW and len({id(i) for i in ids}) <= 2 * len(set(ids))
+
+
+def test_ids_are_decoded_in_slices(spark, monkeypatch):
+    """Null, empty and long arrays, cut into slices of few ids at once."""
+    texts = ["one two three", None, "", "word " * 300, "äöß 中 😀", "end"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    encoded = bpe.encode(docs, PATH, PATTERN).collect()
+    rows = [(r["id"], None if r["id"] == 2 else list(r["ids"])) for r in encoded]
+    arrays = spark.createDataFrame(rows, "id int, ids array<int>").coalesce(1)
+    monkeypatch.setattr(bpe, "IDS_BYTES", 64)
+    monkeypatch.setattr(bpe, "_shipped", lambda *_: lambda: bpe.Encoder(bpe.load_ranks(PATH), PATTERN))
+    for r in bpe.decode(arrays, PATH, PATTERN).collect():
+        assert bytes(r["decoded"]) == (b"" if r["id"] == 2 else (texts[r["id"]] or "").encode())
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array([i for _, i in rows], pa.list_(pa.int32()))})
+    sizes = [sum(map(len, filter(None, part.column(0).to_pylist()))) for part in batches_by_length(iter([batch]), "ids", 16)]
+    assert len(sizes) > 6 and all(n <= 16 for n in sizes if n < 300) and sum(sizes) == sum(len(i or ()) for _, i in rows)

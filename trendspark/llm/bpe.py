@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from trendspark.llm.common import as_bytes, batches_by_size
+from trendspark.llm.common import as_bytes, batches_by_length, batches_by_size
 
 #: Characters of a text encoded at once, and pre-tokens at once in a stretch without a space.
 SLICE, RUN = 1 << 20, 1 << 17
@@ -65,6 +65,8 @@ class Encoder:
         self.words: dict[str, tuple[int, ...]] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
         self.known = Known(self)
+        # One object an id: the caches hold each id many times, and a number of its own takes 28 bytes.
+        self.numbers = list(range(size))
         self.byte_ids = np.array([ranks.get(bytes([b]), 0) for b in range(256)], np.int64)
 
     @cached_property
@@ -204,7 +206,7 @@ class Encoder:
             pair[touched] = self.pair_ranks(token[touched], token[after[touched]])
             fresh = touched[pair[touched] >= 0]
         kept = np.flatnonzero(alive)
-        ids, many = token[kept].tolist(), np.bincount(owner[kept], minlength=len(pieces))
+        ids, many = [*map(self.numbers.__getitem__, token[kept].tolist())], np.bincount(owner[kept], minlength=len(pieces))
         ends = np.cumsum(many).tolist()
         return [tuple(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
@@ -390,7 +392,7 @@ def decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = get()
-        for batch in batches:
+        for batch in batches_by_length(batches, ids, IDS_BYTES // 4):
             column = batch.column(ids)
             sizes = column.value_lengths().fill_null(0).to_pylist()
             flat, found, at = column.flatten().to_numpy(), [], 0

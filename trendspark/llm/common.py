@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -50,9 +50,22 @@ def batches_by_size(
     batches: Iterator[pa.RecordBatch], column: str, limit: int
 ) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` bytes of ``column``; a longer row is a slice of its own."""
+    return _sliced(batches, column, limit, pc.binary_length)
+
+
+def batches_by_length(
+    batches: Iterator[pa.RecordBatch], column: str, limit: int
+) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``limit`` elements of an array ``column``; a longer row is a slice of its own."""
+    return _sliced(batches, column, limit, pc.list_value_length)
+
+
+def _sliced(
+    batches: Iterator[pa.RecordBatch], column: str, limit: int, measure: Callable[[pa.Array], pa.Array]
+) -> Iterator[pa.RecordBatch]:
     give_back()
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(measure(batch.column(column)), 0).to_pylist()
         start = total = 0
         for row, size in enumerate(sizes):
             if row > start and total + size > limit:
